@@ -40,7 +40,7 @@ def _let(value: Column, use) -> Column:
 
 def _stripped(text: Column, chars: str) -> Column:
     """Number of characters of `chars` in the text."""
-    return F.length(text) - F.length(F.translate(text, F.lit(chars), F.lit("")))
+    return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
 def _repeat_words(words: Column) -> Column:
@@ -85,7 +85,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     out = out.withColumns({"_w": _let(words, in_words), "_l": _let(lines, in_lines)})
     out = out.withColumns({
         "n_words": F.col("_w.n"),
-        "word_chars": F.length(F.translate(text, F.lit(" \t\n\x0b\x0c\r"), F.lit(""))).cast("long"),
+        "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": _stripped(text, "#*$%&|<>").cast("long"),
         "n_dup_lines": F.col("_l.n") - F.col("_l.d"),
         "n_repeat_words": F.col("_w.r"),
