@@ -1,8 +1,8 @@
 """Exact n-gram Jaccard self-join by a token-group matrix.
 
 Equal shingle sets collapse into one class first.  Classes are dealt into
-groups of similar documents by four minimum hashes; every class is verified
-against the smallest class of its group only, and verified links merge groups.
+groups of similar documents by minimum hashes; every class is verified against
+the smallest class of a group only, and verified links merge groups.
 The matrix then holds, for every group, the union of the prefix shingles of its
 members.  A class is a query against all other groups: the number of its prefix
 shingles in a group's union bounds its overlap with each member, and only
@@ -20,15 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as sh
 from .common import durable
 from .graph import components
 
-#: Minimum hashes by which groups are formed.
-GROUPINGS = 4
+#: Minimum hashes by which groups are formed, and how many of them a class shares with one that it is verified against.
+GROUPINGS, AGREE = 6, 3
+#: Bits of the summary of the wanted ids by which texts are sieved before they are moved.
+SIEVE = 1 << 23
 #: Greatest number of shingles that are ordered last because they are frequent.
 FREQUENT = 1 << 16
 #: Shingles that are counted at once when frequent ones are looked for.
@@ -149,11 +151,34 @@ def _verify(percent: int):
     return linked
 
 
-def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the wanted ids.
+
+    A bitmap of hashed ids, of SIEVE bits whatever the input, goes to all tasks
+    and keeps most other texts from being moved.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE)) + 1
+    ids = durable(ids.distinct())
+    parts = ids.select(bit("id").alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    bits = np.zeros(SIEVE // 8, np.uint8)
+    for part, got in parts:
+        bits[(part - 1) * 4096 : part * 4096] = np.frombuffer(got, np.uint8)
+
+    @F.pandas_udf("boolean")
+    def wanted(places: pd.Series) -> pd.Series:
+        at = places.fillna(1).to_numpy(np.int64) - 1
+        return pd.Series((bits[at >> 3] >> (at & 7)) & 1 == 1)
+
+    return docs.withColumnRenamed("doc_id", "id").where(wanted(bit("id"))).join(ids, "id")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose texts reach the threshold."""
+    pairs = durable(pairs.select("a", "b"))
+    texts = durable(_texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b"))))
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    both = pairs.join(left, "a").join(right, "b")
     return durable(both.where(_verify(percent)("text_a", "text_b")).select("a", "b"))
 
 
@@ -184,26 +209,26 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 75, width: int = sh.SHING
     classes = durable(rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(GROUPINGS))))
     members = classes.where("n > 0 and id is not null")
 
-    buckets = max(256, int((members.agg(F.sum("n")).first()[0] or 0) * (100 - percent) / 100 / BUCKET))
-    packed = docs.mapInPandas(_prefixes(buckets, percent, last), "bucket long, tokens binary, owners binary")
-    matrix = packed.groupBy("bucket").applyInPandas(_shared, "token long, k1 long")
-    matrix = durable(matrix.join(members.select("k1", "id", "n"), "k1").select("token", "id", "n"))
-
-    # Groups by minimum hash: every class against the smallest class of its group.
-    dealt = members.select("id", "n", F.explode(F.array(*(F.struct(F.lit(i).alias("g"), F.col(f"m{i}").alias("m")) for i in range(GROUPINGS)))).alias("x")).select("id", "n", "x.g", "x.m")
-    firsts = dealt.groupBy("g", "m").agg(F.min(F.struct("id", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
     fits = lambda a, b: (F.lit(100) * F.least(a, b)) >= (F.lit(percent) * F.greatest(a, b))
-    stars = durable(dealt.join(firsts, ["g", "m"]).where((F.col("id") != F.col("first.id")) & fits(F.col("n"), F.col("first.n"))).select(F.col("id").alias("a"), F.col("first.id").alias("b")).distinct())
 
-    wanted = stars.select(F.col("a").alias("id")).union(stars.select("b")).union(matrix.select("id")).distinct()
-    texts = durable(docs.withColumnRenamed("doc_id", "id").join(wanted, "id"))
-    links = _links(stars, texts, percent)
+    # Groups by minimum hash: every class against the smallest class of its group, if they agree in others too.
+    mins = F.array(*(f"m{i}" for i in range(GROUPINGS))).alias("mins")
+    dealt = members.select("id", "n", mins).select("id", "n", "mins", F.posexplode("mins").alias("g", "m"))
+    firsts = dealt.groupBy("g", "m").agg(F.min(F.struct("id", "n", "mins")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    agree = F.size(F.filter(F.zip_with("mins", "first.mins", lambda x, y: x == y), lambda same: same)) >= AGREE
+    stars = dealt.join(firsts, ["g", "m"]).where((F.col("id") != F.col("first.id")) & fits(F.col("n"), F.col("first.n")) & agree)
+    links = _links(stars.select(F.col("id").alias("a"), F.col("first.id").alias("b")).distinct(), docs, percent)
 
+    buckets = max(256, int((members.agg(F.sum("n")).first()[0] or 0) * (100 - percent) / 100 / BUCKET))
+    packed = docs.mapInPandas(_prefixes(buckets, percent, last), "bucket long, tokens binary, owners binary")
+    matrix = packed.groupBy("bucket").applyInPandas(_shared, "token long, k1 long").join(members.select("k1", "id", "n"), "k1").select("token", "id", "n")
     for best_only in (True, False):
         groups = components(links)
         placed = matrix.join(groups, "id", "left").select("token", "id", "n", F.coalesce("label", "id").alias("grp"))
-        spread = placed.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-        placed = durable(placed.join(spread, "token"))
+        of_token = Window.partitionBy("token")
+        spread = placed.withColumns({"lo": F.min("grp").over(of_token), "hi": F.max("grp").over(of_token)})
+        placed = durable(spread.where("lo < hi").select("token", "id", "n", "grp"))
+        matrix = placed.drop("grp")  # a shingle of one group stays one
         union = placed.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("grp", "other")
         lo, hi = F.greatest("least", F.col("n") * percent / 100), F.least("most", F.col("n") * 100 / percent)
         query = placed.join(union, "token").where((F.col("grp") < F.col("other")) & (lo <= hi))
@@ -217,7 +242,7 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 75, width: int = sh.SHING
         )
         if best_only:  # the most promising pair of a class and a group often settles the rest
             pairs = pairs.groupBy("a", "other").agg(F.max_by("b", F.struct("c", F.col("b") * -1)).alias("b"))
-        links = durable(links.union(_links(durable(pairs.select("a", "b")), texts, percent)))
+        links = durable(links.union(_links(pairs, docs, percent)))
 
     found = classes.join(components(links), "id", "left").select("k1", "k2", F.coalesce("label", "id").alias("component_id"))
     return rows.join(found, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
