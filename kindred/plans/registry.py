@@ -2,5 +2,447 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kindred.functions import scalars, similarity
+from kindred.operators import evaluate, evidence, masks, scoring, simjoin, views
+from kindred.plans import bindings as b
+from kindred.plans.bindings import DOCUMENT_SHINGLES, DOCUMENT_WORDS, SUPPLIER_PAIRS, SUPPLIER_TOKENS, table
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+_COUNTS = f"""{SUPPLIER_TOKENS},
+code AS (SELECT app_id, token FROM tok WHERE layer = 'code'),
+size AS (SELECT app_id, count(*) AS n FROM code GROUP BY 1),
+pc AS (
+  SELECT x.app_id AS a, y.app_id AS b, count(*) AS shared, nx.n AS n_a, ny.n AS n_b
+  FROM code x JOIN code y ON x.token = y.token AND x.app_id < y.app_id JOIN size nx ON nx.app_id = x.app_id JOIN size ny ON ny.app_id = y.app_id
+  GROUP BY x.app_id, y.app_id, nx.n, ny.n)"""
+
+
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.supplier_tokens(spark, sf_dir).where("layer = 'code'")
+
+
+# Joins and ranks.
+
+_EXACT = f"""{DOCUMENT_SHINGLES},
+n AS (SELECT app_id, count(*) AS n FROM sh GROUP BY 1),
+sc AS (
+  SELECT x.app_id AS a, y.app_id AS b, count(*)::DOUBLE / (nx.n + ny.n - count(*))::DOUBLE AS score
+  FROM sh x JOIN sh y ON x.token = y.token AND x.app_id < y.app_id JOIN n nx ON nx.app_id = x.app_id JOIN n ny ON ny.app_id = y.app_id
+  GROUP BY x.app_id, y.app_id, nx.n, ny.n)"""
+
+
+@query(f"""WITH {_EXACT}
+SELECT a AS query_app_id, b AS candidate_app_id, score AS retrieval_score, row_number() OVER (ORDER BY score DESC, a, b) AS retrieval_rank,
+  'preliminary_positive' AS screening_status FROM sc WHERE score >= 0.7""")
+def screening_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with Jaccard of at least 0.7 over three-word shingles, ranked (exact join with prefix filter)."""
+    return simjoin.rank_candidates(simjoin.score_join(b.document_shingles(spark, sf_dir), "jaccard", 0.7))
+
+
+@query(f"WITH {_EXACT} SELECT a AS query_app_id, b AS candidate_app_id, score AS retrieval_score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS retrieval_rank FROM sc WHERE score >= 0.5")
+def rank_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simjoin.rank_per_query(simjoin.score_join(b.document_shingles(spark, sf_dir), "jaccard", 0.5))
+
+
+@query(f"WITH {_COUNTS} SELECT * FROM pc")
+def token_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simjoin.pair_counts(_code(spark, sf_dir))
+
+
+def _metric_query(metric: str, threshold: float, formula: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return simjoin.score_join(_code(spark, sf_dir), metric, threshold)
+
+    run.__name__ = f"screen_{metric}"
+    query(f"WITH {_COUNTS} SELECT a, b, score FROM (SELECT a, b, {formula} AS score FROM pc) WHERE score >= {threshold}")(run)
+
+
+_metric_query("jaccard", 0.15, "shared::DOUBLE / (n_a + n_b - shared)::DOUBLE")
+_metric_query("cosine", 0.27, "shared::DOUBLE / (sqrt(n_a::DOUBLE) * sqrt(n_b::DOUBLE))")
+_metric_query("containment", 0.28, "shared::DOUBLE / least(n_a, n_b)::DOUBLE")
+_metric_query("dice", 0.27, "shared::DOUBLE / ((n_a + n_b)::DOUBLE / 2)")
+_metric_query("overlap", 0.26, "shared::DOUBLE / greatest(n_a, n_b)::DOUBLE")
+_metric_query("shared_count", 150.0, "shared::DOUBLE")
+
+
+@query(f"""WITH {SUPPLIER_TOKENS},
+code AS (SELECT app_id, token FROM tok WHERE layer = 'code'), size AS (SELECT app_id, count(*) AS n FROM code GROUP BY 1),
+sc AS (
+  SELECT x.app_id AS a, y.app_id AS b, count(*)::DOUBLE / (nx.n + ny.n - count(*))::DOUBLE AS score
+  FROM code x JOIN code y ON x.token = y.token AND x.app_id <> y.app_id JOIN size nx ON nx.app_id = x.app_id JOIN size ny ON ny.app_id = y.app_id
+  WHERE x.app_id % 10 = 0 GROUP BY x.app_id, y.app_id, nx.n, ny.n)
+SELECT a AS query_app_id, b AS candidate_app_id, score AS retrieval_score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS retrieval_rank FROM sc WHERE score >= 0.14""")
+def query_corpus_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stated query set (every tenth supplier) against all suppliers."""
+    code = _code(spark, sf_dir)
+    return simjoin.query_corpus_join(code.where("app_id % 10 = 0"), code, "jaccard", 0.14)
+
+
+_SLOT = "min(CAST('0x' || substr(md5('42:{i}:' || layer || ':' || token), 1, 15) AS BIGINT))"
+_SIGS = f"""{DOCUMENT_SHINGLES},
+sig AS (SELECT app_id, {", ".join(f"{_SLOT.format(i=i)} AS m{i}" for i in range(12))} FROM sh GROUP BY 1),
+bands AS ({" UNION ALL ".join(f"SELECT app_id, {k} AS band, [{', '.join(f'm{3 * k + j}' for j in range(3))}] AS bk FROM sig" for k in range(4))}),
+cand AS (SELECT DISTINCT x.app_id AS a, y.app_id AS b FROM bands x JOIN bands y ON x.band = y.band AND x.bk = y.bk AND x.app_id < y.app_id)"""
+
+
+@query(f"WITH {_SIGS} SELECT a, b FROM cand")
+def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MinHash bands: 12 functions in 4 bands of 3."""
+    return simjoin.lsh_pairs(simjoin.minhash_md5(b.document_shingles(spark, sf_dir), 12), 4, 12)
+
+
+@query(f"""WITH {_SIGS}, n AS (SELECT app_id, count(*) AS n FROM sh GROUP BY 1),
+ex AS (
+  SELECT x.app_id AS a, y.app_id AS b, count(*)::DOUBLE / (nx.n + ny.n - count(*))::DOUBLE AS score
+  FROM sh x JOIN sh y ON x.token = y.token AND x.app_id < y.app_id JOIN n nx ON nx.app_id = x.app_id JOIN n ny ON ny.app_id = y.app_id
+  GROUP BY x.app_id, y.app_id, nx.n, ny.n HAVING count(*)::DOUBLE / (nx.n + ny.n - count(*))::DOUBLE >= 0.7),
+one AS (SELECT (SELECT count(*) FROM ex) AS clones, (SELECT count(*) FROM ex SEMI JOIN cand USING (a, b)) AS hits, (SELECT count(*) FROM cand) AS shortlist, (SELECT count(DISTINCT app_id) FROM sh) AS m)
+SELECT clones, hits, CASE WHEN clones = 0 THEN 0 ELSE round(hits / clones, 6) END AS recall, shortlist, round(shortlist / greatest(m * (m - 1) // 2, 1), 6) AS shortlist_ratio FROM one""")
+def lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the shortlist against the exact join at 0.7."""
+    tokens = b.document_shingles(spark, sf_dir)
+    n = tokens.select("app_id").distinct().count()
+    return evaluate.shortlist_recall(simjoin.score_join(tokens, "jaccard", 0.7).select("a", "b"), simjoin.lsh_pairs(simjoin.minhash_md5(tokens, 12), 4, 12), n * (n - 1) // 2)
+
+
+@query()
+def lsh_join_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LSH with native hashes, 128 functions in 32 bands, scored exactly."""
+    return simjoin.lsh_join(b.document_shingles(spark, sf_dir), "jaccard", 0.7)
+
+
+@query(f"""WITH {SUPPLIER_TOKENS},
+cat AS (SELECT DISTINCT p_brand || '/' || p_type AS tpl_id, 'part:' || p_partkey AS package FROM part),
+sz AS (SELECT tpl_id, count(*) AS size FROM cat GROUP BY 1)
+SELECT app_id, tpl_id, count(*) AS matched, count(*) / any_value(size) AS coverage, count(*) >= 2 AND count(*) / any_value(size) >= 0.3 AS detected
+FROM tok JOIN cat ON token = package JOIN sz USING (tpl_id) WHERE layer = 'code' GROUP BY app_id, tpl_id""")
+def catalogue_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of brand and type catalogues by the parts of each supplier."""
+    catalogue = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("tpl_id"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("package"))
+    return simjoin.coverage_join(_code(spark, sf_dir).withColumnRenamed("token", "package"), catalogue, 0.3, 2)
+
+
+_HOSTS = r"hosts AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS name FROM pages)"
+
+
+@query(rf"""WITH {_HOSTS}, cat AS (SELECT split_part(name, '.', 1) AS prefix FROM hosts UNION SELECT split_part(name, '.', 1) || '.' || split_part(name, '.', 2) FROM hosts WHERE page_id % 2 = 0),
+every AS (SELECT DISTINCT name, unnest(list_transform(range(1, len(string_split(name, '.')) + 1), i -> array_to_string(string_split(name, '.')[1:i], '.'))) AS prefix FROM hosts),
+best AS (SELECT name, max_by(prefix, length(prefix)) AS matched_prefix FROM every JOIN cat USING (prefix) GROUP BY 1)
+SELECT page_id, name, matched_prefix FROM hosts LEFT JOIN best USING (name)""")
+def longest_prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest catalogue prefix of each page's host."""
+    hosts = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("name"))
+    parts = F.split("name", r"\.")
+    cat = hosts.select(F.get(parts, F.lit(0)).alias("prefix")).union(hosts.where("page_id % 2 = 0").select(F.concat(F.get(parts, F.lit(0)), F.lit("."), F.get(parts, F.lit(1)))))
+    return simjoin.longest_prefix(hosts, cat).select("page_id", "name", "matched_prefix")
+
+
+# Frequencies, layers, weights and decisions.
+
+
+@query(f"WITH {SUPPLIER_TOKENS} SELECT layer, token, count(*) AS df, round(ln((SELECT count(DISTINCT app_id) FROM tok)::DOUBLE / count(*)::DOUBLE), 6) AS idf FROM tok GROUP BY layer, token")
+def idf_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = b.supplier_tokens(spark, sf_dir)
+    n = tokens.agg(F.count_distinct("app_id").alias("n"))
+    return tokens.groupBy("layer", "token").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("layer", "token", "df", F.round(similarity.idf(F.col("n"), F.col("df")), 6).alias("idf"))  # one row is broadcast
+
+
+_LAYERS = f"""{SUPPLIER_TOKENS}, {SUPPLIER_PAIRS},
+size AS (SELECT app_id, layer, count(*) AS n FROM tok GROUP BY 1, 2),
+shd AS (SELECT a, b, x.layer, count(*) AS shared FROM prs JOIN tok x ON x.app_id = a JOIN tok y ON y.app_id = b AND x.layer = y.layer AND x.token = y.token GROUP BY 1, 2, 3),
+lay AS (
+  SELECT a, b, l.layer, coalesce(shared, 0) AS s, coalesce(nx.n, 0) AS n_a, coalesce(ny.n, 0) AS n_b
+  FROM prs CROSS JOIN (SELECT DISTINCT layer FROM tok) l LEFT JOIN shd USING (a, b, layer)
+  LEFT JOIN size nx ON nx.app_id = a AND nx.layer = l.layer LEFT JOIN size ny ON ny.app_id = b AND ny.layer = l.layer),
+ls AS (
+  SELECT a, b, layer, CASE WHEN s > 0 THEN s::DOUBLE / (n_a + n_b - s)::DOUBLE ELSE 0 END AS score,
+    CASE WHEN n_a = 0 AND n_b = 0 THEN 'both_empty' WHEN n_a = 0 OR n_b = 0 THEN 'one_empty' ELSE 'ok' END AS status FROM lay)"""
+_FULL = """full_s AS (
+  SELECT a, b, CASE WHEN sum(w) > 0 THEN round(sum(w * score) / sum(w), 6) ELSE 0 END AS full_similarity_score FROM (
+    SELECT a, b, score, CASE WHEN status = 'both_empty' THEN 0 ELSE CASE layer WHEN 'code' THEN 0.05::DOUBLE WHEN 'component' THEN 0.6::DOUBLE WHEN 'library' THEN 0.35::DOUBLE ELSE 0::DOUBLE END END AS w FROM ls) GROUP BY a, b)"""
+_REDUCED = f"""red AS (
+  SELECT p.a, p.b, CASE WHEN coalesce(nx.n, 0) + coalesce(ny.n, 0) = 0 THEN 0 ELSE coalesce(s.shared, 0)::DOUBLE / (coalesce(nx.n, 0) + coalesce(ny.n, 0) - coalesce(s.shared, 0))::DOUBLE END AS library_reduced_score
+  FROM prs p LEFT JOIN (SELECT a, b, sum(shared) AS shared FROM shd WHERE layer <> 'library' GROUP BY 1, 2) s USING (a, b)
+  LEFT JOIN (SELECT app_id, count(*) AS n FROM tok WHERE layer <> 'library' GROUP BY 1) nx ON nx.app_id = p.a
+  LEFT JOIN (SELECT app_id, count(*) AS n FROM tok WHERE layer <> 'library' GROUP BY 1) ny ON ny.app_id = p.b)"""
+
+
+@query(f"WITH {_LAYERS} SELECT * FROM ls")
+def layer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.layer_scores(b.supplier_tokens(spark, sf_dir), b.supplier_pairs(spark, sf_dir))
+
+
+@query(f"WITH {_LAYERS}, {_FULL} SELECT * FROM full_s")
+def weighted_layer_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.weighted_score(layer_scores(spark, sf_dir))
+
+
+_SUBSETS = ", ".join(f"('{c}', '{x}')" for c, layers in scoring.ABLATIONS.items() for x in layers)
+
+
+@query(f"""WITH {_LAYERS}, sub(config, layer) AS (VALUES {_SUBSETS}), cfg AS (SELECT DISTINCT config FROM sub),
+m AS (
+  SELECT config, a, b, sum(w) AS tw, sum(w * score) AS ts FROM (
+    SELECT config, a, b, score, CASE WHEN status = 'both_empty' THEN 0 ELSE CASE ls.layer WHEN 'code' THEN 0.05::DOUBLE WHEN 'component' THEN 0.6::DOUBLE WHEN 'library' THEN 0.35::DOUBLE ELSE 0::DOUBLE END END AS w
+    FROM ls JOIN sub ON sub.layer = ls.layer) GROUP BY 1, 2, 3)
+SELECT config, a, b, CASE WHEN tw > 0 THEN round(ts / tw, 6) ELSE 0 END AS score FROM cfg CROSS JOIN prs LEFT JOIN m USING (config, a, b)""")
+def layer_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.ablation(layer_scores(spark, sf_dir))
+
+
+@query(f"WITH {_LAYERS}, {_REDUCED} SELECT * FROM red")
+def library_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.reduced_score(b.supplier_tokens(spark, sf_dir), b.supplier_pairs(spark, sf_dir))
+
+
+@query(f"""WITH {_LAYERS}, {_FULL}, {_REDUCED}
+SELECT a, b, full_similarity_score, library_reduced_score, CASE WHEN library_reduced_score >= 0.2 THEN 'success' ELSE 'low_similarity' END AS status,
+  CASE WHEN abs(full_similarity_score - library_reduced_score) >= 0.2 THEN 'high' WHEN abs(full_similarity_score - library_reduced_score) >= 0.05 THEN 'medium' ELSE 'low' END AS library_impact
+FROM full_s JOIN red USING (a, b)""")
+def pairwise_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full and reduced scores, status and library impact of every pair."""
+    rows = weighted_layer_score(spark, sf_dir).join(library_reduced(spark, sf_dir), ["a", "b"])
+    return rows.withColumns({"status": scoring.decide(F.col("library_reduced_score"), 0.2), "library_impact": evidence.impact_severity(F.col("full_similarity_score") - F.col("library_reduced_score"))})
+
+
+@query(f"WITH {SUPPLIER_TOKENS} SELECT t.app_id, layer, token FROM tok t WHERE NOT EXISTS (SELECT 1 FROM (SELECT layer, token FROM tok GROUP BY 1, 2 HAVING count(*) >= 30) m WHERE m.layer = t.layer AND m.token = t.token)")
+def token_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens left when those of 30 or more suppliers are masked."""
+    tokens = b.supplier_tokens(spark, sf_dir)
+    return masks.apply_token_mask(tokens, tokens.groupBy("layer", "token").count().where("count >= 30")).select("app_id", "layer", "token")
+
+
+_TRIGGERS = "trg AS (SELECT doc_id, list_concat(list_concat(CASE WHEN lang = 'de' THEN ['german'] ELSE [] END, CASE WHEN n_chars < 200 THEN ['short'] ELSE [] END), CASE WHEN contains(text, '$$$') THEN ['junk'] ELSE [] END) AS t FROM documents)"
+
+
+def _triggered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    parts = [F.when(c, F.array(F.lit(n))).otherwise(none) for c, n in ((F.col("lang") == "de", "german"), (F.col("n_chars") < 200, "short"), (F.contains("text", F.lit("$$$")), "junk"))]
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(*parts).alias("envelope_triggers"))
+
+
+@query(f"WITH {_TRIGGERS} SELECT doc_id FROM trg WHERE NOT list_has_any(t, ['junk', 'short'])")
+def noise_gate_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.noise_gate(_triggered(spark, sf_dir), ["junk", "short"])[0].select("doc_id")
+
+
+@query(f"WITH {_TRIGGERS} SELECT doc_id, CASE WHEN list_contains(t, 'junk') THEN 'junk' ELSE 'short' END AS reject_reason FROM trg WHERE list_has_any(t, ['junk', 'short'])")
+def noise_gate_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.noise_gate(_triggered(spark, sf_dir), ["junk", "short"])[1].select("doc_id", "reject_reason")
+
+
+# Scalar projections.
+
+
+@query("SELECT doc_id, CASE WHEN n <= 0 THEN '0' WHEN n <= 3 THEN '1_3' WHEN n <= 7 THEN '4_7' WHEN n <= 15 THEN '8_15' WHEN n <= 31 THEN '16_31' WHEN n <= 63 THEN '32_63' ELSE '64_plus' END AS lines_bin, CASE WHEN n_chars < 1024 THEN '<1KB' WHEN n_chars < 10240 THEN '<10KB' WHEN n_chars < 102400 THEN '<100KB' WHEN n_chars < 1048576 THEN '<1MB' ELSE '1MB+' END AS size_bin FROM (SELECT doc_id, n_chars, len(string_split(text, chr(10))) AS n FROM documents)")
+def size_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.size_bucket(F.size(F.split("text", "\n"))).alias("lines_bin"), scalars.byte_bucket(F.col("n_chars")).alias("size_bin"))
+
+
+@query(r"SELECT page_id, len(l) AS links, len(list_distinct(l)) AS distinct_links, l[1] AS first_link FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]+)\"', 1) AS l FROM pages)")
+def markup_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of raw pages by pattern: all matches, distinct ones, and the first."""
+    found = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)).alias("l"))
+    return found.select("page_id", F.size("l").cast("long").alias("links"), F.size(F.array_distinct("l")).cast("long").alias("distinct_links"), F.get("l", F.lit(0)).alias("first_link"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), scalars.day_key(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("day"))
+
+
+# Views.
+
+_CHAIN = """st AS (SELECT user_id, event_type AS from_state, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS to_state FROM events),
+ch AS (SELECT user_id, from_state, to_state, count(*) / sum(count(*)) OVER (PARTITION BY user_id, from_state) AS prob FROM st WHERE to_state IS NOT NULL GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {_CHAIN} SELECT * FROM ch")
+def markov_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.markov_chain(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
+
+
+@query(f"""WITH {_CHAIN}, u AS (SELECT DISTINCT user_id FROM events), p AS (SELECT x.user_id AS a, y.user_id AS b FROM u x JOIN u y ON y.user_id = x.user_id + 1),
+nm AS (SELECT user_id, sqrt(sum(prob * prob)) AS norm FROM ch GROUP BY 1),
+d AS (SELECT a, b, sum(x.prob * y.prob) AS dot FROM p JOIN ch x ON x.user_id = a JOIN ch y ON y.user_id = b AND x.from_state = y.from_state AND x.to_state = y.to_state GROUP BY 1, 2)
+SELECT a, b, CASE WHEN nx.norm IS NULL OR ny.norm IS NULL THEN 0 ELSE round(coalesce(dot, 0) / (nx.norm * ny.norm), 6) END AS score,
+  CASE WHEN nx.norm IS NULL AND ny.norm IS NULL THEN 'both_empty' WHEN nx.norm IS NULL OR ny.norm IS NULL THEN 'one_empty' ELSE 'ok' END AS status
+FROM p LEFT JOIN d USING (a, b) LEFT JOIN nm nx ON nx.user_id = a LEFT JOIN nm ny ON ny.user_id = b""")
+def chain_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of the event chains of users with neighbouring ids."""
+    events = table(spark, sf_dir, "events")
+    users = events.select("user_id").distinct()
+    pairs = users.select(F.col("user_id").alias("a"), (F.col("user_id") + 1).alias("b")).join(users.withColumnRenamed("user_id", "b"), "b").select("a", "b")
+    return views.chain_cosine(views.markov_chain(events, "user_id", "event_id", "event_type"), pairs, "user_id")
+
+
+_FILES = "f AS (SELECT o_custkey AS app_id, l_partkey % 50 AS path, min(l_returnflag) AS digest, count(*) AS n_classes FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2), p AS (SELECT c_custkey AS a, c_custkey + 1 AS b FROM customer)"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag"), F.col("o_orderkey") == F.col("l_orderkey"))
+    files = lines.groupBy(F.col("o_custkey").alias("app_id"), (F.col("l_partkey") % 50).alias("path")).agg(F.min("l_returnflag").alias("digest"), F.count(F.lit(1)).alias("n_classes"))
+    return files, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"))
+
+
+@query(f"""WITH {_FILES}, j AS (
+  SELECT coalesce(x.a, y.a) AS a, coalesce(x.b, y.b) AS b, x.digest AS x, y.digest AS y
+  FROM (SELECT a, b, path, digest FROM p JOIN f ON app_id = a) x FULL JOIN (SELECT a, b, path, digest FROM p JOIN f ON app_id = b) y ON x.a = y.a AND x.b = y.b AND x.path = y.path),
+c AS (SELECT a, b, count(*) FILTER (x = y) AS unchanged, count(*) FILTER (x <> y) AS modified, count(*) FILTER (x IS NULL) AS added, count(*) FILTER (y IS NULL) AS removed FROM j GROUP BY 1, 2),
+r AS (SELECT a, b, coalesce(unchanged, 0) AS unchanged, coalesce(modified, 0) AS modified, coalesce(added, 0) AS added, coalesce(removed, 0) AS removed FROM p LEFT JOIN c USING (a, b))
+SELECT *, CASE WHEN unchanged + modified + added + removed = 0 THEN 1 ELSE unchanged / (unchanged + 2 * modified + added + removed) END AS score FROM r""")
+def resource_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.compare_resources(*_files(spark, sf_dir))
+
+
+@query(f"""WITH {_FILES}, j AS (
+  SELECT coalesce(x.a, y.a) AS a, coalesce(x.b, y.b) AS b, coalesce(x.n_classes, 0) AS x, coalesce(y.n_classes, 0) AS y
+  FROM (SELECT a, b, path, n_classes FROM p JOIN f ON app_id = a) x FULL JOIN (SELECT a, b, path, n_classes FROM p JOIN f ON app_id = b) y ON x.a = y.a AND x.b = y.b AND x.path = y.path),
+c AS (SELECT a, b, count(*) FILTER (x > 0 AND y > 0) / count(*) AS jaccard, sum(least(x, y)) / sum(greatest(x, y)) AS weighted_overlap FROM j GROUP BY 1, 2)
+SELECT a, b, coalesce(jaccard, 1) AS jaccard, coalesce(weighted_overlap, 1) AS weighted_overlap FROM p LEFT JOIN c USING (a, b)""")
+def library_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, pairs = _files(spark, sf_dir)
+    return views.compare_libraries(files.withColumnRenamed("path", "package"), pairs)
+
+
+@query(f"""WITH {DOCUMENT_WORDS}, g AS (SELECT app_id, word AS t0, lead(word, 1) OVER w AS t1, lead(word, 2) OVER w AS t2, lead(word, 3) OVER w AS t3 FROM words WINDOW w AS (PARTITION BY app_id ORDER BY pos))
+SELECT app_id, count(DISTINCT CAST('0x' || substr(md5(t0 || ' ' || t1 || ' ' || t2 || ' ' || t3), 1, 8) AS BIGINT) % 8192) AS bits FROM g WHERE t3 IS NOT NULL GROUP BY 1""")
+def feature_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of set bits of each document's feature-hashed four-word grams."""
+    return views.bit_positions(b.document_words(spark, sf_dir), "app_id", "pos", "word").groupBy("app_id").agg(F.count(F.lit(1)).alias("bits"))
+
+
+@query("""WITH h AS (SELECT vec_id, list_reduce(list_prepend(0::BIGINT, list_transform(range(0, 63), i -> CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << i) ELSE 0::BIGINT END)), (x, y) -> x + y) AS hash FROM embeddings)
+SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.hash, y.hash)) AS INTEGER) AS distance FROM h x JOIN h y ON y.vec_id = x.vec_id + 1""")
+def sign_hash_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hamming distance of 63-bit sign hashes of neighbouring vectors."""
+    h = views.sign_hash(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 63)
+    left, right = h.select(F.col("vec_id").alias("a"), F.col("hash").alias("x")), h.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("hash").alias("y"))
+    return left.join(right, "a").select("a", "b", similarity.hamming(F.col("x"), F.col("y")).alias("distance"))
+
+
+@query()
+def simhash_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.simhash(b.document_shingles(spark, sf_dir), ["app_id"], "token")
+
+
+# Evidence.
+
+
+@query(f"""WITH {_LAYERS}, e AS (SELECT a, b, layer AS ref, least(greatest(score, 0), 1) AS magnitude FROM ls)
+SELECT a, b, count(*) AS total, round(avg(magnitude), 6) AS mean_magnitude, max_by(ref, (magnitude, -ascii(ref))) AS dominant FROM e GROUP BY a, b""")
+def evidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence from the layers' scores, summed up for each pair."""
+    maps = layer_scores(spark, sf_dir).groupBy("a", "b").agg(F.map_from_entries(F.collect_list(F.struct("layer", "score"))).alias("m"))
+    rows = maps.select("a", "b", F.explode(evidence.from_layers(F.col("m"))).alias("e"))
+    return rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("total"), F.round(F.avg("e.magnitude"), 6).alias("mean_magnitude"), F.max_by("e.ref", F.struct(F.col("e.magnitude"), -F.ascii("e.ref"))).alias("dominant"))
+
+
+@query(f"""WITH {_LAYERS}
+SELECT layer, CASE layer WHEN 'library' THEN 'LibraryImpact' WHEN 'component' THEN 'ComponentChange' WHEN 'resource' THEN 'ResourceChange' WHEN 'code' THEN CASE WHEN score < 0.3 THEN 'CodeRemoval' ELSE 'UnknownType' END ELSE 'UnknownType' END AS kind, count(*) AS n
+FROM ls GROUP BY 1, 2""")
+def evidence_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    record = evidence.record("pairwise", "layer_score", F.col("score"), F.col("layer"))
+    return layer_scores(spark, sf_dir).select("layer", evidence.taxonomy(record).alias("kind")).groupBy("layer", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SUPPLIER_TOKENS}, {SUPPLIER_PAIRS}, s AS (SELECT app_id, list(token) AS t FROM tok WHERE layer = 'code' GROUP BY 1) SELECT a, b, len(list_intersect(x.t, y.t)) AS shared, len(y.t) - len(list_intersect(x.t, y.t)) AS added, len(x.t) - len(list_intersect(x.t, y.t)) AS removed FROM prs JOIN s x ON x.app_id = a JOIN s y ON y.app_id = b")
+def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = _code(spark, sf_dir).groupBy("app_id").agg(F.collect_set("token").alias("t"))
+    both = b.supplier_pairs(spark, sf_dir).join(sets.select(F.col("app_id").alias("a"), F.col("t").alias("x")), "a").join(sets.select(F.col("app_id").alias("b"), F.col("t").alias("y")), "b")
+    d = both.select("a", "b", scalars.difference(F.col("x"), F.col("y")).alias("d"))
+    return d.select("a", "b", *(F.size(f"d.{c}").cast("long").alias(c) for c in ("shared", "added", "removed")))
+
+
+# Evaluation.
+
+_SCORED = rf"""{DOCUMENT_WORDS}, scored AS (SELECT l.doc_id, l.quality AS label, round(count(DISTINCT word)::DOUBLE / count(*)::DOUBLE, 6) AS score FROM labels l JOIN words ON app_id = l.doc_id GROUP BY 1, 2)"""
+_MEASURES = """CASE WHEN tp + fp = 0 THEN 0 ELSE round(tp / (tp + fp), 6) END AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE round(tp / (tp + fn), 6) END AS recall,
+  CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE round(2 * tp / (2 * tp + fp + fn), 6) END AS f1, CASE WHEN fp + tn = 0 THEN 0 ELSE round(fp / (fp + tn), 6) END AS fpr,
+  round(CASE WHEN tp + fn = 0 THEN 0 ELSE round(tp / (tp + fn), 6) END - CASE WHEN fp + tn = 0 THEN 0 ELSE round(fp / (fp + tn), 6) END, 6) AS youden"""
+_GRID = [round(0.1 + 0.05 * i, 2) for i in range(17)]
+_ROC = f"""{_SCORED}, t(threshold) AS (VALUES {", ".join(f"({x}::DOUBLE)" for x in _GRID)}),
+c AS (SELECT threshold, count(*) FILTER (score >= threshold AND label = 1) AS tp, count(*) FILTER (score >= threshold AND label = 0) AS fp, count(*) FILTER (score < threshold AND label = 1) AS fn, count(*) FILTER (score < threshold AND label = 0) AS tn FROM t CROSS JOIN scored GROUP BY 1),
+roc AS (SELECT *, {_MEASURES} FROM c)"""
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of distinct words as a score for the label quality."""
+    words = b.document_words(spark, sf_dir).join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("app_id"), F.col("quality").alias("label")), "app_id")
+    return words.groupBy("app_id", "label").agg(F.round(F.count_distinct("word") / F.count(F.lit(1)), 6).alias("score"))
+
+
+@query(f"WITH {_ROC} SELECT * FROM roc")
+def roc_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.roc_grid(_scored(spark, sf_dir), _GRID)
+
+
+@query(f"WITH {_ROC} SELECT * FROM roc ORDER BY f1 DESC, youden DESC, fpr, threshold DESC LIMIT 1")
+def operating_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.operating_point(evaluate.roc_grid(_scored(spark, sf_dir), _GRID))
+
+
+@query(f"""WITH {_SCORED}, d AS (SELECT DISTINCT score AS threshold FROM scored), c AS (SELECT threshold, count(*) FILTER (score >= threshold AND label = 1) AS tp, count(*) FILTER (score >= threshold AND label = 0) AS fp, count(*) FILTER (score < threshold AND label = 1) AS fn, count(*) FILTER (score < threshold AND label = 0) AS tn FROM d CROSS JOIN scored GROUP BY 1)
+SELECT *, {_MEASURES} FROM c""")
+def roc_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.roc_observed(_scored(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT quality AS x, toxic AS y, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1, 2), t AS (SELECT sum(n)::BIGINT AS n, sum(CASE WHEN x = y THEN n ELSE 0 END) AS same FROM c),
+m AS (SELECT v, sum(nx) AS nx, sum(ny) AS ny FROM (SELECT x AS v, n AS nx, 0 AS ny FROM c UNION ALL SELECT y, 0, n FROM c) GROUP BY 1), e AS (SELECT sum(nx * ny) AS p FROM m)
+SELECT n, round(same / n, 6) AS observed, round(p / (n * n), 6) AS expected, CASE WHEN p / (n * n) >= 1 THEN 1 ELSE round((same / n - p / (n * n)) / (1 - p / (n * n)), 6) END AS kappa FROM t, e""")
+def cohen_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.kappa(table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+@query("""WITH x AS (SELECT c_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS v FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1),
+r AS (SELECT avg(rn) OVER (PARTITION BY n) AS ra, avg(rv) OVER (PARTITION BY v) AS rb FROM (SELECT n, v, row_number() OVER (ORDER BY n) AS rn, row_number() OVER (ORDER BY v) AS rv FROM x))
+SELECT count(*) AS n, round(corr(ra, rb), 6) AS rho FROM r""")
+def spearman_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation of customers' number and value of orders."""
+    x = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("v")).join(table(spark, sf_dir, "customer").select("c_custkey"), F.col("c_custkey") == F.col("o_custkey"))
+    return evaluate.spearman(x, "n_orders", "v")
+
+
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_pop(value), 6) AS deviation, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.95) AS p95, min(value) AS least, max(value) AS greatest FROM events GROUP BY 1")
+def summary_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.summary(table(spark, sf_dir, "events"), "value", ["event_type"])
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS stage, count(*) AS incidents, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")
+def incident_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("incidents"), F.count_distinct("user_id").alias("users"))
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events) WHERE r = 1")
+def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first row of each key by position."""
+    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
+    return table(spark, sf_dir, "events").withColumn("r", F.row_number().over(w)).where("r = 1").select("user_id", "event_type", "event_id", "value")
+
+
+@query("SELECT j, round(1 - pow(1 - pow(j, 4), 32), 9) AS probability FROM (SELECT range / 20 AS j FROM range(0, 21))")
+def hit_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = spark.range(21).select((F.col("id") / 20).alias("j"))
+    return grid.select("j", F.round(similarity.hit_probability(F.col("j"), 128, 32), 9).alias("probability"))
+
+
+@query()
+def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.bootstrap(_scored(spark, sf_dir), "score", "app_id", 500)
