@@ -82,7 +82,7 @@ def kappa(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(n, observed, expected, kappa) of two raters; kappa is 1 if chance alone agrees fully."""
     cells = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y")).count()
     both = cells.agg(F.sum("count").alias("n"), F.sum(F.when(F.col("x") == F.col("y"), F.col("count")).otherwise(0)).alias("same"))
-    margins = cells.select(F.explode(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("v"), F.col("count").alias("c")), F.struct(F.lit("y"), F.col("y"), F.col("count")))).alias("m")).groupBy("m.v").agg(F.sum(F.when(F.col("m.side") == "x", F.col("m.c")).otherwise(0)).alias("nx"), F.sum(F.when(F.col("m.side") == "y", F.col("m.c")).otherwise(0)).alias("ny"))
+    margins = cells.select(F.explode(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("v"), F.col("count").alias("c")), F.struct(F.lit("y").alias("side"), F.col("y").alias("v"), F.col("count").alias("c")))).alias("m")).groupBy("m.v").agg(F.sum(F.when(F.col("m.side") == "x", F.col("m.c")).otherwise(0)).alias("nx"), F.sum(F.when(F.col("m.side") == "y", F.col("m.c")).otherwise(0)).alias("ny"))
     chance = margins.agg(F.sum(F.col("nx") * F.col("ny")).alias("products"))
     out = both.join(chance).withColumns({"observed": F.col("same") / F.col("n"), "expected": F.col("products") / (F.col("n") * F.col("n"))})
     return out.select("n", F.round("observed", 6).alias("observed"), F.round("expected", 6).alias("expected"), F.when(F.col("expected") >= 1, 1.0).otherwise(F.round((F.col("observed") - F.col("expected")) / (1 - F.col("expected")), 6)).alias("kappa"))

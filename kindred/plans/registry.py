@@ -142,7 +142,7 @@ _HOSTS = r"hosts AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1)
 
 
 @query(rf"""WITH {_HOSTS}, cat AS (SELECT split_part(name, '.', 1) AS prefix FROM hosts UNION SELECT split_part(name, '.', 1) || '.' || split_part(name, '.', 2) FROM hosts WHERE page_id % 2 = 0),
-every AS (SELECT DISTINCT name, unnest(list_transform(range(1, len(string_split(name, '.')) + 1), i -> array_to_string(string_split(name, '.')[1:i], '.'))) AS prefix FROM hosts),
+every AS (SELECT DISTINCT name, unnest(list_transform(range(1, len(string_split(name, '.')) + 1), lambda i: array_to_string(string_split(name, '.')[1:i], '.'))) AS prefix FROM hosts),
 best AS (SELECT name, max_by(prefix, length(prefix)) AS matched_prefix FROM every JOIN cat USING (prefix) GROUP BY 1)
 SELECT page_id, name, matched_prefix FROM hosts LEFT JOIN best USING (name)""")
 def longest_prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,7 +328,7 @@ def feature_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.bit_positions(b.document_words(spark, sf_dir), "app_id", "pos", "word").groupBy("app_id").agg(F.count(F.lit(1)).alias("bits"))
 
 
-@query("""WITH h AS (SELECT vec_id, list_reduce(list_prepend(0::BIGINT, list_transform(range(0, 63), i -> CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << i) ELSE 0::BIGINT END)), (x, y) -> x + y) AS hash FROM embeddings)
+@query("""WITH h AS (SELECT vec_id, list_reduce(list_prepend(0::BIGINT, list_transform(range(0, 63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << i) ELSE 0::BIGINT END)), lambda x, y: x + y) AS hash FROM embeddings)
 SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.hash, y.hash)) AS INTEGER) AS distance FROM h x JOIN h y ON y.vec_id = x.vec_id + 1""")
 def sign_hash_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hamming distance of 63-bit sign hashes of neighbouring vectors."""
