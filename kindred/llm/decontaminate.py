@@ -1,8 +1,9 @@
 """Benchmark decontamination by template windows.
 
 Texts become templates: numbers, names and units turn into typed placeholders,
-letters fold to lower case and punctuation goes.  Windows of a template are
-hashed and hash-joined with the windows of the benchmark items.  A document
+letters fold to lower case and punctuation goes.  A window that has names also
+counts with its names as plain words, since capitals do not always mark them.
+Windows of a template are hashed and hash-joined with the windows of the benchmark items.  A document
 leaks an item if enough of the item's windows meet at one alignment and the
 slots agree: each value of the item stands for one value of the document, which
 also holds for a question with other numbers and names.
@@ -76,7 +77,7 @@ class Templates:
         at = np.flatnonzero(_CORE[buf])
         space = np.cumsum(_SPACE[buf])  # words have no white space inside
         if not len(at):
-            self.hash = np.zeros(0, np.uint64)
+            self.hash = self.named = np.zeros(0, np.uint64)
             self.kind = self.start = self.stop = np.zeros(0, np.int64)
             self.bounds = np.zeros(len(texts) + 1, np.int64)
             return
@@ -97,25 +98,34 @@ class Templates:
         unit = np.append(False, number[:-1]) & np.isin(plain, _UNIT_HASHES)
         self.kind = np.select([number, unit, name], [_NUMBER, _UNIT, _NAME], _PLAIN)
         self.hash = np.where(self.kind == _PLAIN, plain, _HOLDERS[self.kind])
+        self.named = np.where(self.kind == _NAME, plain, self.hash)  # with names as words
         self.start, self.stop = at[heads], at[tails] + 1
         self.bounds = np.concatenate([[0], np.searchsorted(at[heads], ends - 1)])
 
-    def windows(self, width: int) -> np.ndarray:
-        """Hashes of all windows; those at the end of a text reach into the next."""
+    def windows(self, width: int, names: bool) -> np.ndarray:
+        """Hashes of all windows, 0 for those that are left out; those at the end of a text reach into the next.
+
+        Without `names`, names are plain words, and windows that have none are
+        left out.  Windows of mostly placeholders say nothing.
+        """
         n = len(self.hash) - width + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
+        words = self.hash if names else self.named
         odd = [sh.mix(np.array([j + 1], np.uint64), 500 + width)[0] | _U(1) for j in range(width)]
         total = np.zeros(n, np.uint64)
         for j in range(width):
-            total += self.hash[j : n + j] * odd[j]
-        held = np.cumsum(np.append(0, self.kind != _PLAIN))
+            total += words[j : n + j] * odd[j]
         total = sh.mix(total)
-        total[2 * (held[width:] - held[:-width])[:n] > width] = 0  # mostly placeholders: says nothing
+        inside = lambda marks: np.cumsum(np.append(0, marks))[width:] - np.cumsum(np.append(0, marks))[:-width]
+        total[2 * inside(self.kind != _PLAIN if names else (self.kind == _NUMBER) | (self.kind == _UNIT)) > width] = 0
+        if not names:
+            total[inside(self.kind == _NAME) == 0] = 0
         return total
 
-    def slots(self, a: int, width: int) -> list[str]:
-        return [self.raw[self.start[i] : self.stop[i]].decode("utf-8", "replace").lower() for i in range(a, a + width) if self.kind[i] != _PLAIN]
+    def slots(self, a: int, width: int, names: bool) -> list[str]:
+        kept = (_NUMBER, _UNIT, _NAME) if names else (_NUMBER, _UNIT)
+        return [self.raw[self.start[i] : self.stop[i]].decode("utf-8", "replace").lower() for i in range(a, a + width) if self.kind[i] in kept]
 
 
 def _item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,8 +135,9 @@ def _item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             t = Templates([text])
             width = min(WIDTH, len(t.hash))
             if width:
-                got = t.windows(width)
-                rows += [(item, len(got), width, i, int(h.view(np.int64)), t.slots(i, width)) for i, h in enumerate(got) if h]
+                for names in (True, False):
+                    got = t.windows(width, names)
+                    rows += [(item, len(got), width, i, int(h.view(np.int64)), t.slots(i, width, names)) for i, h in enumerate(got) if h]
         yield pd.DataFrame(rows, columns=["item_id", "item_windows", "width", "item_pos", "window", "item_slots"])
 
 
@@ -143,14 +154,14 @@ def _doc_windows(widths: list[int], known: np.ndarray | None):
             for start, raw in sh.chunks(texts):
                 t = Templates(texts[start : start + len(raw)])
                 rows = []
-                for width in widths:
-                    got = t.windows(width)
+                for width, names in ((w, n) for w in widths for n in (True, False)):
+                    got = t.windows(width, names)
                     owner = np.searchsorted(t.bounds, np.arange(len(got)), side="right") - 1
                     ok = (got != 0) & (np.arange(len(got)) + width <= t.bounds[owner + 1])
                     if known is not None:
                         ok &= sieve[got >> _U(64 - bits)]
                         ok[ok] = np.isin(got[ok], known)
-                    rows += [(ids[start + owner[i]], width, int(i - t.bounds[owner[i]]), int(got[i].view(np.int64)), t.slots(int(i), width)) for i in np.flatnonzero(ok)]
+                    rows += [(ids[start + owner[i]], width, int(i - t.bounds[owner[i]]), int(got[i].view(np.int64)), t.slots(int(i), width, names)) for i in np.flatnonzero(ok)]
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", "width", "pos", "window", "slots"])
 

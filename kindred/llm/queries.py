@@ -70,7 +70,7 @@ QUERIES = {
     )
 }
 
-_WORDS = r"list_filter(regexp_extract_all({text}, '[^\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(regexp_extract_all({text}, '[^\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 #: SQL has no twin of the learned and searching operators; tests hold these against plain versions.
 ORACLE_SQL = {
@@ -79,7 +79,7 @@ WITH RECURSIVE words AS (
   SELECT doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
 shingles AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
   FROM words),
 tokens AS (SELECT doc_id, unnest(s) AS t, len(s) AS n FROM shingles),
 links AS (
