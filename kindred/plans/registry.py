@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import scalars, similarity
-from kindred.operators import evaluate, evidence, masks, scoring, simjoin, views
+from kindred.operators import evaluate, evidence, masks, reports, scoring, simjoin, views
 from kindred.plans import bindings as b
 from kindred.plans.bindings import DOCUMENT_SHINGLES, DOCUMENT_WORDS, SUPPLIER_PAIRS, SUPPLIER_TOKENS, table
 
@@ -446,3 +446,73 @@ def hit_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.bootstrap(_scored(spark, sf_dir), "score", "app_id", 500)
+
+
+# Pair generators and reports.
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as apps: the customer is the package, the priority the signing key."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("app_id"), F.col("o_custkey").alias("package"), F.col("o_orderpriority").alias("signer"), F.col("o_orderdate").alias("version"))
+
+
+@query("SELECT x.o_orderkey AS a, y.o_orderkey AS b, CASE WHEN x.o_orderpriority = y.o_orderpriority THEN 1 ELSE 0 END AS label FROM orders x JOIN orders y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey")
+def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.labelled_pairs(_orders(spark, sf_dir))
+
+
+@query("SELECT o_custkey AS package, min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders GROUP BY 1 HAVING count(*) > 1")
+def group_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.group_representatives(_orders(spark, sf_dir))
+
+
+@query("""WITH w AS (SELECT o_custkey AS package, o_orderkey AS a, lead(o_orderkey, 1) OVER v AS b1, lead(o_orderkey, 2) OVER v AS b2 FROM orders WINDOW v AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+SELECT package, a, b1 AS b, 1 AS step FROM w WHERE b1 IS NOT NULL UNION ALL SELECT package, a, b2, 2 FROM w WHERE b2 IS NOT NULL""")
+def version_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.version_pairs(_orders(spark, sf_dir))
+
+
+@query("""WITH r AS (SELECT c_nationkey, c_custkey, c_acctbal, abs(c_acctbal - 1000) AS reduced FROM customer),
+k AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank_plain, row_number() OVER (PARTITION BY c_nationkey ORDER BY reduced DESC, c_custkey) AS rank_reduced FROM r)
+SELECT *, rank_plain <> rank_reduced AS ranking_changed FROM k""")
+def dual_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_acctbal", F.abs(F.col("c_acctbal") - 1000).alias("reduced"))
+    return reports.dual_ranking(rows, "c_nationkey", "c_custkey", "c_acctbal", "reduced").drop("c_acctbal", "reduced")
+
+
+@query("""WITH s AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, array_to_string(list_sort(list(DISTINCT event_type)), '+') AS combination FROM events GROUP BY 1, 2)
+SELECT combination, count(*) AS n FROM s GROUP BY 1""")
+def view_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type")
+    return reports.combination_counts(rows, ["user_id", "day"], "event_type")
+
+
+@query("""WITH e AS (SELECT p_brand AS category, p_type AS action, p_size % 3 AS reason, p_name AS element FROM part)
+SELECT category, action, reason, count(DISTINCT element) AS n, array_to_string(list_sort(list(DISTINCT element))[1:10], ',') AS elements FROM e GROUP BY 1, 2, 3""")
+def noise_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("category"), F.col("p_type").alias("action"), (F.col("p_size") % 3).alias("reason"), F.col("p_name").alias("element"))
+    return reports.merge_noise(rows).withColumn("elements", F.array_join("elements", ","))
+
+
+@query(f"""WITH {SUPPLIER_TOKENS},
+cat AS (SELECT DISTINCT p_brand || '/' || p_type AS tpl_id, 'part:' || p_partkey AS package FROM part), sz AS (SELECT tpl_id, count(*) AS size FROM cat GROUP BY 1),
+p AS (SELECT app_id, tpl_id FROM tok JOIN cat ON token = package JOIN sz USING (tpl_id) WHERE layer = 'code' GROUP BY app_id, tpl_id HAVING count(*) >= 2 AND count(*) / any_value(size) >= 0.3),
+t AS (SELECT DISTINCT app_id, tpl_id FROM tok JOIN cat ON token = package WHERE layer = 'code' AND app_id % 2 = 0),
+j AS (SELECT coalesce(p.app_id, t.app_id) AS app_id, p.app_id IS NOT NULL AS p, t.app_id IS NOT NULL AS t FROM p FULL JOIN t ON p.app_id = t.app_id AND p.tpl_id = t.tpl_id),
+c AS (SELECT count(*) FILTER (p AND t) AS tp, count(*) FILTER (NOT t) AS fp, count(*) FILTER (NOT p) AS fn, count(DISTINCT CASE WHEN p THEN app_id END) AS covered, count(DISTINCT CASE WHEN t THEN app_id END) AS apps FROM j)
+SELECT tp, fp, fn, CASE WHEN tp + fp = 0 THEN 0 ELSE round(tp / (tp + fp), 6) END AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE round(tp / (tp + fn), 6) END AS recall, CASE WHEN apps = 0 THEN 0 ELSE round(covered / apps, 6) END AS coverage FROM c""")
+def detector_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalogue_coverage(spark, sf_dir)
+    return reports.detector_quality(rows.where("detected"), rows.where("app_id % 2 = 0"))
+
+
+@query(f"""WITH {_LAYERS}, {_FULL},
+plain AS (SELECT a, b, score AS before FROM ls WHERE layer = 'component'),
+m AS (SELECT full_s.a % 5 AS segment, before AS x, full_similarity_score AS y FROM full_s JOIN plain USING (a, b))
+SELECT segment, count(*) AS n, round(avg(x), 6) AS mean_before, round(avg(y), 6) AS mean_after, round(avg(y - x), 6) AS mean_delta, round(min(y - x), 6) AS least_delta, round(max(y - x), 6) AS greatest_delta FROM m GROUP BY 1""")
+def replay_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the layer weights change against the component layer alone."""
+    scores = layer_scores(spark, sf_dir)
+    before = scores.where("layer = 'component'").select("a", "b", (F.col("a") % 5).alias("segment"), "score")
+    after = scoring.weighted_score(scores).withColumnRenamed("full_similarity_score", "score")
+    return reports.replay_deltas(before, after, ["a", "b"], "score", "segment")
