@@ -29,8 +29,10 @@ SAMPLE = 6_000
 CANDIDATES = 100_000
 #: Documents of the toxic sample in which an entry occurs, at least.
 SUPPORT = 3
-#: Log-likelihood ratio and log-odds of an entry, at least.
-EVIDENCE, ODDS = 11.0, 1.5
+#: Entries that may come in by chance alone, on average, and log-odds of an entry, at least.
+BY_CHANCE, ODDS = 0.1, 1.5
+#: A beginning has so many times the documents of a longer entry; a longer entry so much more weight than its beginning.
+WIDER, CLEARER = 1.3, 0.7
 #: Lengths of the word beginnings that are considered.
 STEMS = range(3, 9)
 #: Phrases whose words do not count as hits.
@@ -82,24 +84,33 @@ def _counter(only: frozenset[str] | None):
 
 
 def _ratio(t: int, c: int, toxic: int, clean: int) -> float:
-    """Log-likelihood ratio of an entry in t of `toxic` and c of `clean` documents."""
+    """Twice the log-likelihood ratio of an entry in t of `toxic` and c of `clean` documents."""
     cells = [(t, toxic), (toxic - t, toxic), (c, clean), (clean - c, clean)]
     have = (t + c) / (toxic + clean)
     return 2 * sum(n * math.log(n / (of * p)) for (n, of), p in zip(cells, (have, 1 - have) * 2, strict=True) if n and of * p)
 
 
 def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Entry to weight.  A longer entry stays beside a beginning of it only if it tells clearly more."""
+    """Entry to weight.
+
+    A beginning comes in if it stands in clearly more toxic documents than any
+    longer entry under it, which then need a clearly greater weight to stay.
+    """
+    # Many entries are tried, so each must show more than chance: twice a log-likelihood ratio exceeds x with probability near exp(-x / 2).
+    evidence = 2 * math.log(max(len(toxic), 1) / BY_CHANCE)
     weights: dict[str, float] = {}
-    for entry in sorted(toxic, key=lambda e: (len(e), e)):
-        t, c = toxic[entry], clean.get(entry, 0)
+    for entry, t in toxic.items():
+        c = clean.get(entry, 0)
         weight = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
-        if t < SUPPORT or weight < ODDS or _ratio(t, c, n_toxic, n_clean) < EVIDENCE:
-            continue
-        shorter = max((weights.get(entry[: n + 1], 0.0) for n in STEMS if n + 1 < len(entry)), default=0.0)
-        if weight > shorter + 0.7 or not shorter:
+        if t >= SUPPORT and weight >= ODDS and _ratio(t, c, n_toxic, n_clean) >= evidence:
             weights[entry] = weight
-    return weights
+    stems = lambda e: [e[: n + 1] for n in STEMS if n + 1 < len(e)]
+    under: dict[str, int] = {}
+    for entry in weights:
+        for stem in stems(entry):
+            under[stem] = max(under.get(stem, 0), toxic[entry])
+    weights = {e: w for e, w in weights.items() if toxic[e] > WIDER * under.get(e, 0)}
+    return {e: w for e, w in sorted(weights.items()) if w > max((weights[s] + CLEARER for s in stems(e) if s in weights), default=0.0)}
 
 
 @dataclass
@@ -109,27 +120,28 @@ class Lexicon:
     exceptions: tuple[str, ...] = EXCEPTIONS
 
     def matcher(self):
-        """A function from text to (sum of the weights of hits, words)."""
+        """A function from text to (weights of hits, summed up, and words)."""
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
         for entry, weight in self.weights.items():
-            automaton.add_word(entry, (len(entry), weight))
+            automaton.add_word(entry, (len(entry), (weight, entry)))
         for phrase in self.exceptions:
             automaton.add_word(fold(phrase), (len(fold(phrase)), None))
         automaton.make_automaton()
 
         def match(text: str | None) -> tuple[float, int]:
             folded = fold(text)
-            hits: dict[int, float] = {}
+            hits: dict[int, tuple[float, str]] = {}
             spared: list[tuple[int, int]] = []
             for end, (n, weight) in automaton.iter(folded):
                 start = end - n + 1
                 if weight is None:
                     spared.append((start, end))
                 else:
-                    hits[start] = max(weight, hits.get(start, 0.0))
-            total = sum(w for at, w in hits.items() if not any(a <= at < b for a, b in spared))
+                    hits[start] = max(weight, hits.get(start, (0.0, "")))
+            times = Counter(hit for at, hit in hits.items() if not any(a <= at < b for a, b in spared))
+            total = sum(w * (1 + math.log(n)) for (w, _), n in sorted(times.items()))  # the same entry again tells less
             return total, folded.count(" ") - 1
 
         return match if len(automaton) else lambda text: (0.0, 0)
