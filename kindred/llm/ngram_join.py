@@ -99,7 +99,7 @@ def _prefixes(buckets: int, percent: int, frequent: np.ndarray):
         for pdf in batches:
             ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
             for start, raw in sh.chunks(list(pdf["text"])):
-                parts, owners = [], []
+                parts, owners, places = [], [], []
                 for i, tokens in enumerate(sh.shingle_sets(raw), start):
                     key = _class_key(tokens, ids[i])
                     if not len(tokens) or key in known:
@@ -111,16 +111,18 @@ def _prefixes(buckets: int, percent: int, frequent: np.ndarray):
                         tokens = np.concatenate([tokens[~often], tokens[often]])
                     kept = tokens[: _prefix(len(tokens), percent)]
                     parts.append(kept)
+                    places.append(np.arange(1, len(kept) + 1, dtype=np.uint32))
                     owners.append(np.tile(np.array([key], np.int64), (len(kept), 1)))
                 if not parts:
                     continue
-                tokens, owner = np.concatenate(parts), np.concatenate(owners)
+                tokens, owner, place = np.concatenate(parts), np.concatenate(owners), np.concatenate(places)
                 bucket = (sh.mix(tokens, 7) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                tokens, owner, bucket = tokens[order], owner[order], bucket[order]
+                tokens, owner, place, bucket = tokens[order], owner[order], place[order], bucket[order]
                 heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
                 ends = np.append(heads[1:], len(bucket))
-                yield pd.DataFrame({"bucket": bucket[heads], "tokens": [tokens[a:b].tobytes() for a, b in zip(heads, ends, strict=True)], "owners": [owner[a:b, 0].tobytes() for a, b in zip(heads, ends, strict=True)]})
+                cut = lambda x: [x[a:b].tobytes() for a, b in zip(heads, ends, strict=True)]  # noqa: B023, E731
+                yield pd.DataFrame({"bucket": bucket[heads], "tokens": cut(tokens), "owners": cut(owner[:, 0]), "places": cut(place)})
 
     return run
 
@@ -129,13 +131,14 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     """The (shingle, class) pairs of a bucket whose shingle has two classes at least."""
     tokens = np.frombuffer(b"".join(pdf["tokens"]), np.int64)
     owners = np.frombuffer(b"".join(pdf["owners"]), np.int64)
+    places = np.frombuffer(b"".join(pdf["places"]), np.uint32)
     order = np.lexsort((owners, tokens))
-    tokens, owners = tokens[order], owners[order]
+    tokens, owners, places = tokens[order], owners[order], places[order]
     new = np.append(True, (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1]))
-    tokens, owners = tokens[new], owners[new]
+    tokens, owners, places = tokens[new], owners[new], places[new]
     same = tokens[1:] == tokens[:-1]
     keep = np.append(same, False) | np.append(False, same)
-    return pd.DataFrame({"token": tokens[keep], "k1": owners[keep]})
+    return pd.DataFrame({"token": tokens[keep], "k1": owners[keep], "place": places[keep].astype(np.int64)})
 
 
 def _verify(percent: int):
@@ -174,7 +177,6 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose texts reach the threshold."""
-    pairs = durable(pairs.select("a", "b"))
     texts = durable(_texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b"))))
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
@@ -182,9 +184,18 @@ def _links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return durable(both.where(_verify(percent)("text_a", "text_b")).select("a", "b"))
 
 
-def _need(n: F.Column, other: F.Column, percent: int) -> F.Column:
-    """Prefix shingles that sets of sizes n and other share at least if they link, less two for rounding."""
-    return F.lit(percent / (100 + percent)) * (n + other) - F.lit(percent / 100) * F.greatest(n, other) - 1
+def _after(n: F.Column, other: F.Column, shared: F.Column, last: F.Column, percent: int) -> F.Column:
+    """Whether sets of sizes n and other can reach the threshold if `shared` prefix shingles are common.
+
+    The last of these is the `last`-th of the set of size n, and all other
+    common shingles come after it.  One is allowed for rounding.
+    """
+    return shared + n - last >= F.lit(percent / (100 + percent)) * (n + other) - 1
+
+
+def _beyond(n: F.Column, other: F.Column, shared: F.Column, percent: int) -> F.Column:
+    """The same by sizes alone: one of the sets has all other common shingles outside its prefix."""
+    return shared + F.lit(percent / 100) * F.greatest(n, other) >= F.lit(percent / (100 + percent)) * (n + other) - 1
 
 
 def ngram_jaccard_join(docs: DataFrame, percent: int = 75, width: int = sh.SHINGLE) -> DataFrame:
@@ -217,32 +228,41 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 75, width: int = sh.SHING
     firsts = dealt.groupBy("g", "m").agg(F.min(F.struct("id", "n", "mins")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
     agree = F.size(F.filter(F.zip_with("mins", "first.mins", lambda x, y: x == y), lambda same: same)) >= AGREE
     stars = dealt.join(firsts, ["g", "m"]).where((F.col("id") != F.col("first.id")) & fits(F.col("n"), F.col("first.n")) & agree)
-    links = _links(stars.select(F.col("id").alias("a"), F.col("first.id").alias("b")).distinct(), docs, percent)
+    stars = durable(stars.select(F.col("id").alias("a"), F.col("first.id").alias("b")).distinct())
+    links = _links(stars, docs, percent)
+    tried = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     buckets = max(256, int((members.agg(F.sum("n")).first()[0] or 0) * (100 - percent) / 100 / BUCKET))
-    packed = docs.mapInPandas(_prefixes(buckets, percent, last), "bucket long, tokens binary, owners binary")
-    matrix = packed.groupBy("bucket").applyInPandas(_shared, "token long, k1 long").join(members.select("k1", "id", "n"), "k1").select("token", "id", "n")
-    for best_only in (True, False):
-        groups = components(links)
-        placed = matrix.join(groups, "id", "left").select("token", "id", "n", F.coalesce("label", "id").alias("grp"))
-        of_token = Window.partitionBy("token")
-        spread = placed.withColumns({"lo": F.min("grp").over(of_token), "hi": F.max("grp").over(of_token)})
-        placed = durable(spread.where("lo < hi").select("token", "id", "n", "grp"))
-        matrix = placed.drop("grp")  # a shingle of one group stays one
-        union = placed.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("grp", "other")
-        lo, hi = F.greatest("least", F.col("n") * percent / 100), F.least("most", F.col("n") * 100 / percent)
-        query = placed.join(union, "token").where((F.col("grp") < F.col("other")) & (lo <= hi))
-        bound = query.groupBy("id", "n", "other").agg(F.count(F.lit(1)).alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
-        opened = bound.where(F.col("c") >= F.greatest(F.lit(1.0), F.least(_need(F.col("n"), lo, percent), _need(F.col("n"), hi, percent)))).select(F.col("id").alias("a"), "other")
-        inside = placed.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("grp").alias("other"))
-        pairs = (
-            placed.select("token", F.col("id").alias("a"), "n").join(opened, "a").join(inside, ["token", "other"]).where(fits(F.col("n"), F.col("n_b")))
-            .groupBy("a", "b", "n", "n_b", "other").agg(F.count(F.lit(1)).alias("c"))
-            .where(F.col("c") >= F.greatest(F.lit(1.0), _need(F.col("n"), F.col("n_b"), percent)))
-        )
-        if best_only:  # the most promising pair of a class and a group often settles the rest
-            pairs = pairs.groupBy("a", "other").agg(F.max_by("b", F.struct("c", F.col("b") * -1)).alias("b"))
-        links = durable(links.union(_links(pairs, docs, percent)))
-
-    found = classes.join(components(links), "id", "left").select("k1", "k2", F.coalesce("label", "id").alias("component_id"))
+    packed = docs.mapInPandas(_prefixes(buckets, percent, last), "bucket long, tokens binary, owners binary, places binary")
+    matrix = packed.groupBy("bucket").applyInPandas(_shared, "token long, k1 long, place long").join(members.select("k1", "id", "n"), "k1")
+    groups = components(links)
+    placed = matrix.join(groups, "id", "left").select("token", "id", "n", "place", F.coalesce("label", "id").alias("grp"))
+    of_token = Window.partitionBy("token")
+    spread = placed.withColumns({"lo": F.min("grp").over(of_token), "hi": F.max("grp").over(of_token)})
+    placed = durable(spread.where("lo < hi").drop("lo", "hi"))
+    union = placed.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("grp", "other")
+    lo, hi = F.greatest(F.col("least"), F.col("n") * percent / 100), F.least(F.col("most"), F.col("n") * 100 / percent)
+    query = placed.join(union, "token").where((F.col("grp") < F.col("other")) & (lo <= hi))
+    bound = query.groupBy("id", "n", "other").agg(F.count(F.lit(1)).alias("c"), F.max("place").alias("last"), F.min("least").alias("least"), F.max("most").alias("most"))
+    # Of all sizes in a group the first bound is widest at the least, the second at one of the ends.
+    n, c = F.col("n"), F.col("c")
+    may = _after(n, lo, c, F.col("last"), percent) & (_beyond(n, lo, c, percent) | _beyond(n, hi, c, percent))
+    opened = bound.where(may).select(F.col("id").alias("a"), "other")
+    inside = placed.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("grp").alias("other"))
+    asking = placed.select("token", F.col("id").alias("a"), "n", "place", "grp").join(opened, "a")
+    met = asking.join(inside, ["token", "other"]).where(fits(F.col("n"), F.col("n_b"))).groupBy("a", "b", "n", "n_b", "other").agg(F.count(F.lit(1)).alias("c"), F.max("place").alias("last"), F.max("place_b").alias("last_b"))
+    m = F.col("n_b")
+    able = _after(n, m, c, F.col("last"), percent) & _after(m, n, c, F.col("last_b"), percent) & _beyond(n, m, c, percent)
+    pairs = durable(met.where(able).select("a", "b", "other", "c").join(tried, ["a", "b"], "left_anti"))
+    # The most promising pair of a class and a group often settles the rest.
+    best = durable(pairs.groupBy("a", "other").agg(F.max_by("b", F.struct("c", F.col("b") * -1)).alias("b")).select("a", "b"))
+    links = durable(links.union(_links(best, docs, percent)))
+    groups = components(links)
+    of = lambda x: groups.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}"))
+    apart = ~F.coalesce("label_a", "a").eqNullSafe(F.coalesce("label_b", "b"))
+    rest = durable(pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b"))
+    if rest.limit(1).count():
+        groups = components(durable(links.union(_links(rest, docs, percent))))
+
+    found = classes.join(groups, "id", "left").select("k1", "k2", F.coalesce("label", "id").alias("component_id"))
     return rows.join(found, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
