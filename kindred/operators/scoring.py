@@ -99,3 +99,54 @@ def failure_reason(unpack_ok: Column, blocks_a: Column, blocks_b: Column, explic
     """Why an analysis failed, the first that holds: explicit, unpack_failed, missing_bytecode, feature_extraction_failed."""
     out = F.when(~unpack_ok, "unpack_failed").when((blocks_a == 0) | (blocks_b == 0), "missing_bytecode").otherwise("feature_extraction_failed")
     return out if explicit is None else F.coalesce(explicit, out)
+
+
+def view_channels(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, layer, jaccard, tversky_a, tversky_b, overlap_min) from counts; all 0 where both sides are empty."""
+    counts = layer_counts(tokens, pairs)
+    s, n, m = (F.col(c).cast("double") for c in ("shared", "n_a", "n_b"))
+    # With one side left out of the denominator an empty set meets only another empty one.
+    one = lambda x, other: F.when(x > 0, s / x).otherwise(F.when((x == 0) & (other == 0), 1.0).otherwise(0.0))
+    empty = (n + m) == 0
+    zero = lambda c: F.when(empty, 0.0).otherwise(c)
+    return counts.select(
+        "a", "b", "layer", zero(s / F.greatest(n + m - s, F.lit(1.0))).alias("jaccard"), zero(one(n, m)).alias("tversky_a"), zero(one(m, n)).alias("tversky_b"),
+        zero(F.when(F.least(n, m) > 0, s / F.greatest(F.least(n, m), F.lit(1.0))).otherwise(0.0)).alias("overlap_min"),
+    )
+
+
+def layer_counts(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, layer, shared, n_a, n_b) for the layers that either side of a pair has."""
+    sizes = tokens.groupBy("app_id", "layer").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda x: pairs.select("a", "b").join(sizes.select(F.col("app_id").alias(x), "layer", F.col("n").alias(f"n_{x}")), x)
+    both = side("a").join(side("b"), ["a", "b", "layer"], "full_outer")
+    left = pairs.select("a", "b").join(tokens.select(F.col("app_id").alias("a"), "layer", "token"), "a")
+    shared = left.join(tokens.select(F.col("app_id").alias("b"), "layer", "token"), ["b", "layer", "token"]).groupBy("a", "b", "layer").agg(F.count(F.lit(1)).alias("shared"))
+    return both.join(shared, ["a", "b", "layer"], "left").na.fill(0, ["shared", "n_a", "n_b"])
+
+
+def idf_jaccard(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, score): Jaccard with each token weighing ln(N / df), over all layers; 0 if nothing weighs."""
+    n = tokens.agg(F.count_distinct("app_id").alias("docs"))
+    weights = tokens.groupBy("layer", "token").agg(F.count_distinct("app_id").alias("df")).join(F.broadcast(n)).select("layer", "token", similarity.idf(F.col("docs"), F.col("df")).alias("w"))  # one row is broadcast
+    weighted = tokens.join(weights, ["layer", "token"])
+    totals = weighted.groupBy("app_id").agg(F.sum("w").alias("total"))
+    inter = pairs.select("a", "b").join(weighted.withColumnRenamed("app_id", "a"), "a").join(tokens.withColumnRenamed("app_id", "b"), ["b", "layer", "token"]).groupBy("a", "b").agg(F.sum("w").alias("both"))
+    rows = pairs.select("a", "b").join(inter, ["a", "b"], "left").join(totals.select(F.col("app_id").alias("a"), F.col("total").alias("x")), "a", "left").join(totals.select(F.col("app_id").alias("b"), F.col("total").alias("y")), "b", "left").na.fill(0.0)
+    either = F.col("x") + F.col("y") - F.col("both")
+    return rows.select("a", "b", F.when(either > 1e-12, F.round(F.col("both") / either, 6)).otherwise(0.0).alias("score"))
+
+
+def batch(counts: DataFrame, configs: list[tuple[str, str, float]]) -> DataFrame:
+    """(config, a, b, score, passed) of pair counts under several (name, metric, threshold), in one pass."""
+    each = F.array(*(F.struct(F.lit(name).alias("config"), similarity.from_counts(metric, F.col("shared"), F.col("n_a"), F.col("n_b")).alias("score"), F.lit(float(t)).alias("threshold")) for name, metric, t in configs))
+    rows = counts.select("a", "b", F.explode(each).alias("x"))
+    return rows.select("x.config", "a", "b", "x.score", (F.col("x.score") >= F.col("x.threshold")).alias("passed"))
+
+
+def shortcut_rows(candidates: DataFrame) -> DataFrame:
+    """Result rows of candidates that took the shortcut: both scores from the retrieval score, else the signature's."""
+    score = F.coalesce("retrieval_score", "signature_score")
+    flags = shortcut_flags(F.col("retrieval_score"), F.col("signature_status"))
+    rows = candidates.withColumn("f", flags).where("f.shortcut_applied")
+    return rows.select("a", "b", score.alias("full_similarity_score"), score.alias("library_reduced_score"), F.col("f.shortcut_status").alias("status"), F.lit("likely_clone_by_signature").alias("verdict"))

@@ -516,3 +516,69 @@ def replay_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = scores.where("layer = 'component'").select("a", "b", (F.col("a") % 5).alias("segment"), "score")
     after = scoring.weighted_score(scores).withColumnRenamed("full_similarity_score", "score")
     return reports.replay_deltas(before, after, ["a", "b"], "score", "segment")
+
+
+@query(f"""WITH {_LAYERS}
+SELECT a, b, layer, CASE WHEN n_a + n_b = 0 THEN 0 ELSE s::DOUBLE / (n_a + n_b - s)::DOUBLE END AS jaccard, CASE WHEN n_a > 0 THEN s::DOUBLE / n_a::DOUBLE ELSE 0 END AS tversky_a,
+  CASE WHEN n_b > 0 THEN s::DOUBLE / n_b::DOUBLE ELSE 0 END AS tversky_b, CASE WHEN least(n_a, n_b) > 0 THEN s::DOUBLE / least(n_a, n_b)::DOUBLE ELSE 0 END AS overlap_min
+FROM lay WHERE n_a + n_b > 0""")
+def view_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.view_channels(b.supplier_tokens(spark, sf_dir), b.supplier_pairs(spark, sf_dir))
+
+
+@query(f"""WITH {_LAYERS}, w AS (SELECT layer, token, greatest(ln((SELECT count(DISTINCT app_id) FROM tok)::DOUBLE / count(*)::DOUBLE), 0) AS w FROM tok GROUP BY 1, 2),
+tw AS (SELECT app_id, layer, token, w FROM tok JOIN w USING (layer, token)), tot AS (SELECT app_id, sum(w) AS t FROM tw GROUP BY 1),
+i AS (SELECT a, b, sum(x.w) AS inter FROM prs JOIN tw x ON x.app_id = a JOIN tok y ON y.app_id = b AND x.layer = y.layer AND x.token = y.token GROUP BY 1, 2),
+r AS (SELECT a, b, coalesce(inter, 0) AS i, coalesce(x.t, 0) + coalesce(y.t, 0) - coalesce(inter, 0) AS u FROM prs LEFT JOIN i USING (a, b) LEFT JOIN tot x ON x.app_id = a LEFT JOIN tot y ON y.app_id = b)
+SELECT a, b, CASE WHEN u > 1e-12 THEN round(i / u, 6) ELSE 0 END AS score FROM r""")
+def idf_weighted_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.idf_jaccard(b.supplier_tokens(spark, sf_dir), b.supplier_pairs(spark, sf_dir))
+
+
+_CONFIGS = [("strict", "jaccard", 0.16), ("loose", "containment", 0.26), ("dice", "dice", 0.27)]
+
+
+@query(f"""WITH {_COUNTS},
+r AS (SELECT 'strict' AS config, shared::DOUBLE / (n_a + n_b - shared)::DOUBLE >= 0.16 AS passed FROM pc UNION ALL SELECT 'loose', shared::DOUBLE / least(n_a, n_b)::DOUBLE >= 0.26 FROM pc UNION ALL SELECT 'dice', shared::DOUBLE / ((n_a + n_b)::DOUBLE / 2) >= 0.27 FROM pc)
+SELECT config, CASE WHEN passed THEN 'success' ELSE 'below_pairwise_threshold' END AS status, count(*) AS pairs FROM r GROUP BY 1, 2""")
+def batch_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several configurations over the same pair counts, summed up by status."""
+    rows = scoring.batch(simjoin.pair_counts(_code(spark, sf_dir)), _CONFIGS)
+    return rows.groupBy("config", F.when(F.col("passed"), "success").otherwise("below_pairwise_threshold").alias("status")).agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query(f"""WITH {_LAYERS}, {_FULL}
+SELECT a, b, full_similarity_score, full_similarity_score AS library_reduced_score, 'success_shortcut' AS status, 'likely_clone_by_signature' AS verdict FROM full_s WHERE full_similarity_score >= 0.95 AND a % 2 = b % 2""")
+def shortcut_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = weighted_layer_score(spark, sf_dir)
+    rows = scores.select("a", "b", F.col("full_similarity_score").alias("retrieval_score"), F.lit(1.0).alias("signature_score"), F.when(F.col("a") % 2 == F.col("b") % 2, "match").otherwise("mismatch").alias("signature_status"))
+    return scoring.shortcut_rows(rows)
+
+
+@query(f"""WITH {SUPPLIER_TOKENS}, {SUPPLIER_PAIRS}, s AS (SELECT app_id, list(token) AS t FROM tok WHERE layer = 'library' GROUP BY 1),
+d AS (SELECT a, b, len(x.t) + len(y.t) - 2 * len(list_intersect(x.t, y.t)) AS n FROM prs JOIN s x ON x.app_id = a JOIN s y ON y.app_id = b)
+SELECT a, b, 'ComponentChange' AS kind, CASE WHEN n >= 6 THEN 'high' WHEN n >= 2 THEN 'medium' ELSE 'low' END AS severity FROM d""")
+def change_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of the symmetric difference of two sets of names."""
+    sets = b.supplier_tokens(spark, sf_dir).where("layer = 'library'").groupBy("app_id").agg(F.collect_set("token").alias("t"))
+    both = b.supplier_pairs(spark, sf_dir).join(sets.select(F.col("app_id").alias("a"), F.col("t").alias("x")), "a").join(sets.select(F.col("app_id").alias("b"), F.col("t").alias("y")), "b")
+    return both.select("a", "b", evidence.change_hint("ComponentChange", F.col("x"), F.col("y"), 6, 2).alias("h")).select("a", "b", "h.kind", "h.severity")
+
+
+_W = "generate_series(0, 4)"
+
+
+@query(f"""WITH {_LAYERS}, wide AS (
+  SELECT a, b, CASE WHEN (a + b) % 3 = 0 THEN 1 ELSE 0 END AS label, max(score) FILTER (layer = 'code') AS code, max(score) FILTER (layer = 'component') AS component, max(score) FILTER (layer = 'library') AS library FROM ls GROUP BY a, b),
+g AS (SELECT x.i / 4 AS code, y.i / 4 AS component, z.i / 4 AS library FROM {_W} x(i), {_W} y(i), {_W} z(i) WHERE x.i + y.i + z.i = 4),
+sc AS (SELECT g.code, g.component, g.library, label, floor((g.code * wide.code + g.component * wide.component + g.library * wide.library) * 50 + 1e-9) AS bin FROM wide CROSS JOIN g),
+t AS (SELECT code, component, library, bin, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS q FROM sc GROUP BY 1, 2, 3, 4),
+c AS (SELECT code, component, library, bin / 50 AS threshold, sum(p) OVER d AS tp, sum(q) OVER d AS fp, sum(p) OVER w - sum(p) OVER d AS fn, sum(q) OVER w - sum(q) OVER d AS tn FROM t
+  WINDOW d AS (PARTITION BY code, component, library ORDER BY bin DESC ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY code, component, library)),
+m AS (SELECT *, {_MEASURES} FROM c)
+SELECT max(f1) AS f1 FROM m""")
+def weight_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best F1 over a simplex of layer weights and binned thresholds."""
+    layers = ["code", "component", "library"]
+    wide = layer_scores(spark, sf_dir).groupBy("a", "b").agg(*(F.max(F.when(F.col("layer") == x, F.col("score"))).alias(x) for x in layers)).withColumn("label", F.when((F.col("a") + F.col("b")) % 3 == 0, 1).otherwise(0))
+    return evaluate.weight_search(wide, layers, 4, 50).agg(F.max("f1").alias("f1"))
