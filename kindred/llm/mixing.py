@@ -22,6 +22,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents that are rounded together, about.
 BUCKET = 1024
+#: Sources up to which the table of sources is sent to all tasks (some 50 bytes each); beyond, it is joined by a shuffle.
+SENT = 100_000
 #: Newton stops at this relative distance of every source from its target, or after so many steps.
 TOLERANCE, STEPS = 1e-9, 60
 
@@ -107,6 +109,8 @@ def mix(docs: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS
     # Equal rows are counted, so that a key that comes very often is one row here.
     unique = sized.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("rows"))
     facts = rated.select(F.col("source").alias("s"), "source_size", "target", "rate", "docs")
+    if cells.count() <= SENT:  # else a source with very many documents is left to the skew join
+        facts = F.broadcast(facts)
     spread = unique.join(facts, same).drop("s")
     bucket = F.pmod(F.xxhash64("key", "size"), F.greatest(F.lit(1), F.ceil(F.col("docs") / BUCKET)))
     spread = spread.withColumn("bucket", bucket).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / BUCKET))))
@@ -129,9 +133,12 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     Documents with the same doc_id, source and size that get different numbers
     of copies share them in the order of their texts.
     """
-    took = mix(docs, "doc_id", weights, most).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("again").alias("_again"), F.col("copies").alias("copies"), F.col("taken").alias("taken"))
+    took = durable(mix(docs, "doc_id", weights, most).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("again").alias("_again"), "copies", "taken"))
     names = [c for c in docs.columns if c not in ("copies", "taken")]
     marked = docs.select(*names, n_words().alias("_n"))
-    marked = marked.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "_n").orderBy(F.xxhash64("text"))) - 1)
+    nth = F.lit(0)
+    if took.where("_again > 0").limit(1).count():  # else no text has to be moved for it
+        nth = F.row_number().over(Window.partitionBy("doc_id", "source", "_n").orderBy(F.xxhash64("text"))) - 1
+    marked = marked.withColumn("_nth", nth)
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")) & (F.col("_nth") == F.col("_again"))
     return marked.join(took, same).where("copies > 0").select(*names, "copies", "taken")
