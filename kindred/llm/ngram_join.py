@@ -240,17 +240,25 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 75, width: int = sh.SHING
     of_token = Window.partitionBy("token")
     spread = placed.withColumns({"lo": F.min("grp").over(of_token), "hi": F.max("grp").over(of_token)})
     placed = durable(spread.where("lo < hi").drop("lo", "hi"))
-    union = placed.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("grp", "other")
+    # A pair's first common shingle leaves each side room for the overlap that they need: share * other is at most `room`.
+    share = percent / (100 + percent)
+    placed = placed.withColumn("room", F.col("n") * (1 - share) - F.col("place") + 2)
+    union = placed.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room_other")).withColumnRenamed("grp", "other")
     lo, hi = F.greatest(F.col("least"), F.col("n") * percent / 100), F.least(F.col("most"), F.col("n") * 100 / percent)
-    query = placed.join(union, "token").where((F.col("grp") < F.col("other")) & (lo <= hi))
-    bound = query.groupBy("id", "n", "other").agg(F.count(F.lit(1)).alias("c"), F.max("place").alias("last"), F.min("least").alias("least"), F.max("most").alias("most"))
+    roomy = (lo <= hi) & (F.col("room") >= lo * share) & (F.col("room_other") >= F.col("n") * share)
+    query = placed.join(union, "token").where((F.col("grp") < F.col("other")) & roomy).select("id", "other").distinct()
+    bound = placed.join(query, "id").join(union, ["token", "other"]).where(lo <= hi)
+    bound = bound.groupBy("id", "n", "other").agg(F.count(F.lit(1)).alias("c"), F.max("place").alias("last"), F.min("least").alias("least"), F.max("most").alias("most"))
     # Of all sizes in a group the first bound is widest at the least, the second at one of the ends.
     n, c = F.col("n"), F.col("c")
     may = _after(n, lo, c, F.col("last"), percent) & (_beyond(n, lo, c, percent) | _beyond(n, hi, c, percent))
     opened = bound.where(may).select(F.col("id").alias("a"), "other")
-    inside = placed.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("grp").alias("other"))
-    asking = placed.select("token", F.col("id").alias("a"), "n", "place", "grp").join(opened, "a")
-    met = asking.join(inside, ["token", "other"]).where(fits(F.col("n"), F.col("n_b"))).groupBy("a", "b", "n", "n_b", "other").agg(F.count(F.lit(1)).alias("c"), F.max("place").alias("last"), F.max("place_b").alias("last_b"))
+    asking = placed.select("token", F.col("id").alias("a"), "n", "place", "room").join(opened, "a")
+    inside = placed.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("room").alias("room_b"), F.col("grp").alias("other"))
+    fit = fits(F.col("n"), F.col("n_b")) & (F.col("room") >= F.col("n_b") * share) & (F.col("room_b") >= F.col("n") * share)
+    met = asking.join(inside, ["token", "other"]).where(fit).select("a", "b", "other").distinct()
+    met = met.join(placed.select("token", F.col("id").alias("a"), "n", "place"), "a").join(inside.select("token", "b", "n_b", "place_b"), ["b", "token"])
+    met = met.groupBy("a", "b", "n", "n_b", "other").agg(F.count(F.lit(1)).alias("c"), F.max("place").alias("last"), F.max("place_b").alias("last_b"))
     m = F.col("n_b")
     able = _after(n, m, c, F.col("last"), percent) & _after(m, n, c, F.col("last_b"), percent) & _beyond(n, m, c, percent)
     pairs = durable(met.where(able).select("a", "b", "other", "c").join(tried, ["a", "b"], "left_anti"))
