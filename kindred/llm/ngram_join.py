@@ -30,9 +30,9 @@ from .graph import components
 #: Minimum hashes by which groups are formed, and how many of them a class shares with one that it is verified against.
 GROUPINGS, AGREE = 6, 3
 #: Bits of the summary of the wanted ids by which texts are sieved before they are moved.
-SIEVE = 1 << 23
+SIEVE = 1 << 21
 #: Greatest number of shingles that are ordered last because they are frequent.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 14
 #: Shingles that are counted at once when frequent ones are looked for.
 COUNTED = 1 << 20
 #: Prefix shingles that one bucket of the matrix is meant to hold.
