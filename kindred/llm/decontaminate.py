@@ -6,7 +6,8 @@ counts with its names as plain words, since capitals do not always mark them.
 Windows of a template are hashed and hash-joined with the windows of the benchmark items.  A document
 leaks an item if enough of the item's windows meet at one alignment and the
 slots agree: each value of the item stands for one value of the document, which
-also holds for a question with other numbers and names.
+also holds for a question with other numbers and names.  Windows of mostly
+placeholders say nothing as templates: they count by their plain words.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .common import durable
 
 #: Words of a template window; an item of fewer words is one window.
 WIDTH = 8
-#: Percent of an item's windows that a leak has.
+#: Percent of an item's telling windows, or of all its windows, that a leak has.
 COVERAGE = 50
 #: Benchmark windows that are sent to all tasks as a first filter (8 bytes each), at most.
 FILTER = 1 << 21
@@ -35,6 +36,8 @@ UNITS = "mm cm m km in ft mi g kg lb oz mg l ml s sec min h hr hour hours minute
 
 _U = np.uint64
 _PLAIN, _NUMBER, _NAME, _UNIT = 0, 1, 2, 3
+#: Ways to read a window: as a template, as a template with names as words, as plain words.
+_TEMPLATE, _NAMED, _VERBATIM = 0, 1, 2
 _HOLDERS = sh.mix(np.arange(4, dtype=np.uint64), 400)
 
 
@@ -77,14 +80,14 @@ class Templates:
         at = np.flatnonzero(_CORE[buf])
         space = np.cumsum(_SPACE[buf])  # words have no white space inside
         if not len(at):
-            self.hash = self.named = np.zeros(0, np.uint64)
+            self.hash = self.named = self.plain = np.zeros(0, np.uint64)
             self.kind = self.start = self.stop = np.zeros(0, np.int64)
             self.bounds = np.zeros(len(texts) + 1, np.int64)
             return
         word = space[at]
         heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         tails = np.append(heads[1:], len(at)) - 1
-        plain = _hash_words(buf, at, heads)
+        self.plain = plain = _hash_words(buf, at, heads)
         digits = np.add.reduceat(_DIGIT[buf[at]].astype(np.int64), heads)
         number = digits == np.diff(np.append(heads, len(at)))
         first = buf[at[heads]]
@@ -102,32 +105,44 @@ class Templates:
         self.start, self.stop = at[heads], at[tails] + 1
         self.bounds = np.concatenate([[0], np.searchsorted(at[heads], ends - 1)])
 
-    def windows(self, width: int, names: bool) -> np.ndarray:
+    def windows(self, width: int, form: int) -> np.ndarray:
         """Hashes of all windows, 0 for those that are left out; those at the end of a text reach into the next.
 
-        Without `names`, names are plain words, and windows that have none are
-        left out.  Windows of mostly placeholders say nothing.
+        As _NAMED, names are plain words, and windows that have none are left
+        out.  Windows of mostly placeholders say nothing, except as _VERBATIM.
         """
         n = len(self.hash) - width + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
-        words = self.hash if names else self.named
-        odd = [sh.mix(np.array([j + 1], np.uint64), 500 + width)[0] | _U(1) for j in range(width)]
+        words = (self.hash, self.named, self.plain)[form]
+        odd = [sh.mix(np.array([j + 1], np.uint64), (900 if form == _VERBATIM else 500) + width)[0] | _U(1) for j in range(width)]
         total = np.zeros(n, np.uint64)
         for j in range(width):
             total += words[j : n + j] * odd[j]
         total = sh.mix(total)
-        inside = lambda marks: np.cumsum(np.append(0, marks))[width:] - np.cumsum(np.append(0, marks))[:-width]
-        total[2 * inside(self.kind != _PLAIN if names else (self.kind == _NUMBER) | (self.kind == _UNIT)) > width] = 0
-        if not names:
-            total[inside(self.kind == _NAME) == 0] = 0
+        if form == _VERBATIM:
+            return total
+        total[2 * self._inside(self.kind != _PLAIN if form == _TEMPLATE else (self.kind == _NUMBER) | (self.kind == _UNIT), width) > width] = 0
+        if form == _NAMED:
+            total[self._inside(self.kind == _NAME, width) == 0] = 0
         return total
 
-    def slots(self, a: int, width: int, names: bool) -> list[str]:
-        kept = (_NUMBER, _UNIT, _NAME) if names else (_NUMBER, _UNIT)
+    def _inside(self, marks: np.ndarray, width: int) -> np.ndarray:
+        return np.cumsum(np.append(0, marks))[width:] - np.cumsum(np.append(0, marks))[:-width]
+
+    def verbatim(self, width: int) -> np.ndarray:
+        """The windows that can equal a _VERBATIM one of an item: with a number, or with a unit first."""
+        n = max(len(self.hash) - width + 1, 0)
+        return (self._inside(self.kind == _NUMBER, width) > 0) | (self.kind[:n] == _UNIT) if n else np.zeros(0, bool)
+
+    def slots(self, a: int, width: int, form: int) -> list[str]:
+        kept = ((_NUMBER, _UNIT, _NAME), (_NUMBER, _UNIT), (_NUMBER,))[form]
         return [self.raw[self.start[i] : self.stop[i]].decode("utf-8", "replace").lower() for i in range(a, a + width) if self.kind[i] in kept]
 
 
+_ITEMS = "item_id long, item_windows long, telling_windows long, width int, item_pos int, telling boolean, verbatim boolean, window long, item_slots array<string>"
+
+
 def _item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
@@ -135,14 +150,17 @@ def _item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             t = Templates([text])
             width = min(WIDTH, len(t.hash))
             if width:
-                for names in (True, False):
-                    got = t.windows(width, names)
-                    rows += [(item, len(got), width, i, int(h.view(np.int64)), t.slots(i, width, names)) for i, h in enumerate(got) if h]
-        yield pd.DataFrame(rows, columns=["item_id", "item_windows", "width", "item_pos", "window", "item_slots"])
+                got = {form: t.windows(width, form) for form in (_TEMPLATE, _NAMED, _VERBATIM)}
+                telling = (got[_TEMPLATE] != 0) | (got[_NAMED] != 0)
+                # A word that begins the item may become a unit after a number of the document.
+                got[_VERBATIM][telling & ((np.arange(len(telling)) > 0) | ~np.isin(t.plain[: len(telling)], _UNIT_HASHES))] = 0
+                for form, hashes in got.items():
+                    rows += [(item, len(telling), int(telling.sum()), width, i, bool(telling[i]), form == _VERBATIM, int(h.view(np.int64)), t.slots(i, width, form)) for i, h in enumerate(hashes) if h]
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _ITEMS.split(", ")])
 
 
-def _doc_windows(widths: list[int], known: np.ndarray | None):
-    """The windows of documents; with `known`, only those that an item has."""
+def _doc_windows(widths: list[tuple[int, int]], known: np.ndarray | None):
+    """The windows of documents in the given widths and forms; with `known`, only those that an item has."""
     bits = 22
     if known is not None:
         sieve = np.zeros(1 << bits, bool)
@@ -154,14 +172,16 @@ def _doc_windows(widths: list[int], known: np.ndarray | None):
             for start, raw in sh.chunks(texts):
                 t = Templates(texts[start : start + len(raw)])
                 rows = []
-                for width, names in ((w, n) for w in widths for n in (True, False)):
-                    got = t.windows(width, names)
+                for width, form in widths:
+                    got = t.windows(width, form)
                     owner = np.searchsorted(t.bounds, np.arange(len(got)), side="right") - 1
                     ok = (got != 0) & (np.arange(len(got)) + width <= t.bounds[owner + 1])
+                    if form == _VERBATIM:
+                        ok &= t.verbatim(width)
                     if known is not None:
                         ok &= sieve[got >> _U(64 - bits)]
                         ok[ok] = np.isin(got[ok], known)
-                    rows += [(ids[start + owner[i]], width, int(i - t.bounds[owner[i]]), int(got[i].view(np.int64)), t.slots(int(i), width, names)) for i in np.flatnonzero(ok)]
+                    rows += [(ids[start + owner[i]], width, int(i - t.bounds[owner[i]]), int(got[i].view(np.int64)), t.slots(int(i), width, form)) for i in np.flatnonzero(ok)]
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", "width", "pos", "window", "slots"])
 
@@ -171,23 +191,28 @@ def _doc_windows(widths: list[int], known: np.ndarray | None):
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAGE) -> DataFrame:
     """(doc_id, item_id, windows, item_windows, coverage) for each leak.
 
-    `coverage` is the share of the item's template windows that the document
-    has at one alignment (give or take some words) with slots that agree.  Null
-    or empty texts and rows with a null id leak nothing; repeated rows count
-    once; an empty table on either side gives an empty result.  Items without a
-    telling window (only placeholders) cannot be found.
+    `coverage` is the share of the item's telling template windows that the
+    document has at one alignment (give or take some words) with slots that
+    agree; or, where it is greater, the share of all its windows, of which the
+    others (mostly placeholders) must have the same words and numbers.  So an
+    item of placeholders only is found by its verbatim copies.  Null or empty
+    texts and rows with a null id leak nothing; repeated rows count once; an
+    empty table on either side gives an empty result.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    items = durable(items.mapInPandas(_item_windows, "item_id long, item_windows long, width int, item_pos int, window long, item_slots array<string>").distinct())
-    widths = [r[0] for r in items.select("width").distinct().collect()]
+    items = durable(items.mapInPandas(_item_windows, _ITEMS).distinct())
+    forms = lambda verbatim: (_VERBATIM,) if verbatim else (_TEMPLATE, _NAMED)
+    widths = [(width, form) for width, verbatim in items.select("width", "verbatim").distinct().collect() for form in forms(verbatim)]
     known = None
     if items.count() <= FILTER:
         known = np.sort(np.array([r[0] for r in items.select("window").distinct().collect()], np.int64).view(np.uint64))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     found = docs.mapInPandas(_doc_windows(widths, known), "doc_id long, width int, pos int, window long, slots array<string>")
     hits = found.join(items, ["window", "width"]).withColumn("place", F.floor((F.col("pos") - F.col("item_pos")) / STEP))
-    hits = hits.where(F.size("slots") == F.size("item_slots")).groupBy("doc_id", "item_id", "item_windows", "place", "item_pos").agg(F.min(F.struct("pos", "slots", "item_slots")).alias("x"))
-    hits = hits.select("doc_id", "item_id", "item_windows", "place", "item_pos", "x.slots", "x.item_slots")
+    whole = ["doc_id", "item_id", "item_windows", "telling_windows"]
+    # Equal slots first, so that a verbatim copy agrees with itself.
+    hits = hits.where(F.size("slots") == F.size("item_slots")).groupBy(*whole, "place", "item_pos").agg(F.max("telling").alias("telling"), F.min(F.struct(F.col("slots") != F.col("item_slots"), "pos", "slots", "item_slots")).alias("x"))
+    hits = hits.select(*whole, "place", "item_pos", "telling", "x.slots", "x.item_slots")
     # Each value of the item stands for the value that it most often meets.
     key = ["doc_id", "item_id", "place", "theirs"]
     met = hits.select("doc_id", "item_id", "place", F.explode(F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours"))).alias("z")).select("doc_id", "item_id", "place", F.col("z.theirs").alias("theirs"), F.col("z.ours").alias("ours"))
@@ -197,13 +222,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAGE) -> Da
     odd = odd.groupBy("doc_id", "item_id", "place").agg(F.collect_set("bad").alias("bad"))
     said = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.concat_ws("\x1f", z["item_slots"], z["slots"]))
     sound = hits.join(odd, ["doc_id", "item_id", "place"], "left").where(F.col("bad").isNull() | ~F.arrays_overlap("bad", said))
-    by_place = sound.groupBy("doc_id", "item_id", "item_windows", "place").agg(F.count_distinct("item_pos").alias("n"))
+    by_place = sound.groupBy(*whole, "place").agg(F.count_distinct(F.when(F.col("telling"), F.col("item_pos"))).alias("told"), F.count_distinct("item_pos").alias("n"))
     pair = Window.partitionBy("doc_id", "item_id").orderBy("place")
-    beside = F.when(F.lead("place").over(pair) == F.col("place") + 1, F.lead("n").over(pair)).otherwise(0)
-    by_place = by_place.withColumn("n", F.least(F.col("n") + beside, "item_windows"))
-    out = by_place.groupBy("doc_id", "item_id", "item_windows").agg(F.max("n").alias("windows"))
-    out = out.where(F.col("windows") * 100 >= F.col("item_windows") * coverage)
-    return out.select("doc_id", "item_id", "windows", "item_windows", (F.col("windows") / F.col("item_windows")).alias("coverage"))
+    beside = lambda c: F.when(F.lead("place").over(pair) == F.col("place") + 1, F.lead(c).over(pair)).otherwise(0)
+    by_place = by_place.select(*whole, F.least(F.col("told") + beside("told"), "telling_windows").alias("told"), F.least(F.col("n") + beside("n"), "item_windows").alias("n"))
+    out = by_place.groupBy(*whole).agg(F.max("told").alias("told"), F.max("n").alias("n"))
+    share = lambda n, of: F.struct(F.try_divide(n, of).alias("coverage"), F.col(n).alias("windows"), F.col(of).alias("item_windows"))
+    out = out.select("doc_id", "item_id", F.greatest(share("told", "telling_windows"), share("n", "item_windows")).alias("x"))
+    return out.where(F.col("x.windows") * 100 >= F.col("x.item_windows") * coverage).select("doc_id", "item_id", "x.windows", "x.item_windows", "x.coverage")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAGE) -> DataFrame:

@@ -139,6 +139,21 @@ def test_slots_must_agree(spark):
     assert {r.doc_id for r in found.collect()} == {1}
 
 
+def test_items_of_mostly_numbers_are_found(spark):
+    items = ["Compute 12 + 34 - 56 * 78", "Compute 3 + 5 + 7 + 9 + 11 + 13 + 15 and give the result", "4 5 6 7", "min of 2 sets or more", "1 2 3 4 5 6 7 8 9 10 11 12"]
+    before, after = "some words that stand before it", "and others that come after the whole"
+    docs = [(i, f"{before} {t} {after}") for i, t in enumerate(items)]
+    docs += [
+        (10, f"{before} 2020 {items[3]} {after}"),
+        (11, f"{before} Compute 30 + 50 + 70 + 90 + 110 + 130 + 150 and give the result {after}"),
+        (12, f"{before} Compute 13 + 34 - 56 * 78 {after} 5 6 7 4 {after} 2 3 1"),
+        (13, "1 2 3 4 5 6 7 8 10 9 12 11"),
+    ]
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): (r.windows, r.item_windows) for r in found.collect()}
+    assert got == {(0, 0): (1, 1), (1, 1): (5, 5), (2, 2): (1, 1), (3, 3): (1, 1), (4, 2): (1, 1), (4, 4): (5, 5), (10, 3): (1, 1), (11, 1): (1, 1), (13, 2): (1, 1)}
+
+
 def test_leaks_of_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     full = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
