@@ -248,11 +248,11 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 75, width: int = sh.SHING
     roomy = (lo <= hi) & (F.col("room") >= lo * share) & (F.col("room_other") >= F.col("n") * share)
     query = placed.join(union, "token").where((F.col("grp") < F.col("other")) & roomy).select("id", "other").distinct()
     bound = placed.join(query, "id").join(union, ["token", "other"]).where(lo <= hi)
-    bound = bound.groupBy("id", "n", "other").agg(F.count(F.lit(1)).alias("c"), F.max("place").alias("last"), F.min("least").alias("least"), F.max("most").alias("most"))
-    # Of all sizes in a group the first bound is widest at the least, the second at one of the ends.
+    bound = bound.groupBy("id", "n", "other").agg(F.count(F.lit(1)).alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+    # Of all sizes in a group the bound is widest at one of the ends.  _after holds for pairs only: another member
+    # may put the last hit behind shingles that are common with this one, but are no hits.
     n, c = F.col("n"), F.col("c")
-    may = _after(n, lo, c, F.col("last"), percent) & (_beyond(n, lo, c, percent) | _beyond(n, hi, c, percent))
-    opened = bound.where(may).select(F.col("id").alias("a"), "other")
+    opened = bound.where(_beyond(n, lo, c, percent) | _beyond(n, hi, c, percent)).select(F.col("id").alias("a"), "other")
     asking = placed.select("token", F.col("id").alias("a"), "n", "place", "room").join(opened, "a")
     inside = placed.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("room").alias("room_b"), F.col("grp").alias("other"))
     fit = fits(F.col("n"), F.col("n_b")) & (F.col("room") >= F.col("n_b") * share) & (F.col("room_b") >= F.col("n") * share)

@@ -65,6 +65,16 @@ def test_join_equals_brute_force(spark):
     assert sorted(map(tuple, got)) == plain_components(rows)
 
 
+def test_a_group_is_opened_for_a_member_that_ends_before_another_ones_hits(spark):
+    # Words for which x (a part of y, exactly at the threshold) and y are not compared as likely copies, while z,
+    # an edited y, lacks shingles of x behind y's prefix but has the last one of x's prefix.
+    y = [f"w3019x{i}" for i in range(804)]
+    z = [f"z{i}" if i in (151, 315, 429, 545) else w for i, w in enumerate(y)]
+    rows = [(i, " ".join(words)) for i, words in enumerate((y[:604], z, y), 1)]
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == plain_components(rows) == [(1, 600, 1), (2, 800, 1), (3, 800, 1)]
+
+
 def test_join_of_empty_and_repeated_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, n int")
     assert ngram_jaccard_join(empty).count() == 0
