@@ -34,6 +34,8 @@ NAMES = frozenset("ad ads advert advertisement adverts advertising banner breadc
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)")
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
@@ -60,6 +62,18 @@ class Block:
     text: str = ""
 
 
+def _hides(rest: str) -> bool:
+    """Whether the attributes have a `hidden` one that is not false, or a style that does not show the element."""
+    low = rest.lower()
+    if "hidden" not in low and "none" not in low and "&" not in low:
+        return False
+    for m in _ATTRIBUTE.finditer(low):
+        value = entities.unescape(m[2] or "").strip("\"'")
+        if m[1] == "hidden" and value.strip() != "false" or m[1] == "style" and _UNSEEN.search(value):
+            return True
+    return False
+
+
 def _child(parent: Element, name: str, rest: str, key: int) -> Element:
     named = False
     if rest and ("class" in rest or "id" in rest or "role" in rest or rest.isupper()):
@@ -69,7 +83,7 @@ def _child(parent: Element, name: str, rest: str, key: int) -> Element:
     inside = parent.article or name == "article"
     return Element(
         name, parent, key,
-        hidden=parent.hidden or name in HIDDEN or bool(rest and re.search(r"(?<![\w-])hidden(?![\w-])(?!\s*=\s*[\"']?false)", rest)),
+        hidden=parent.hidden or name in HIDDEN or bool(rest) and _hides(rest),
         boilerplate=parent.boilerplate or name in BOILERPLATE,
         named=parent.named or (named and name not in ("body", "html", "article", "main")),
         article=inside, main=parent.main or name == "main" or 'role="main"' in rest,

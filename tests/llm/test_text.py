@@ -148,6 +148,16 @@ def test_main_text_of_a_page():
     assert html_text.main_text(PAGE) == "A & B\nFirst para with bold and a link.\nSecond para:\none item\ntwo items\nShort.\nLast para ends here."
 
 
+@pytest.mark.parametrize("attributes", ['style="overflow: hidden"', 'class="card overflow hidden"', 'title="the hidden valley"', "data-x='hidden'", 'data-hidden', 'hidden="false"', "data-style='display:none'", 'style="backface-visibility: hidden"', "alt=hidden"])
+def test_hidden_inside_a_value_hides_nothing(attributes):
+    assert [b.text for b in html_text.blocks(f"<body {attributes}><article {attributes}><p {attributes}>Words.</p></article>")] == ["Words."]
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'hidden=""', "HIDDEN", "class=a hidden id=b", 'style="color: red; display: none"', "style='visibility:hidden !important;'", 'title="a > b" hidden'])
+def test_hidden_elements_are_not_shown(attributes):
+    assert [b.text for b in html_text.blocks(f"<p>Before.</p><div {attributes}><p>Words.</p></div><p>After.</p>")] == ["Before.", "After."]
+
+
 def test_main_text_of_odd_pages(spark):
     odd = [None, "", "plain words without any markup at all, but a long sentence that says something.", "<p>unclosed <b>bold", "<!-- only", "<script>never closed", "<nav>x</nav>", "</p></div>a<"]
     rows = spark.createDataFrame([(i, None, h) for i, h in enumerate(odd)], "page_id long, url string, html string")
