@@ -76,11 +76,15 @@ def _spots(found, notices: list[Notice]) -> dict[int, list[list[int]]]:
             notice = notices[i]
             start = end - length + 1 - at
             a, b = start - notice.edits, start + len(notice.text) + notice.edits
-            ranges = out.setdefault(i, [])
-            if ranges and a <= ranges[-1][1]:
-                ranges[-1][1] = max(b, ranges[-1][1])
+            out.setdefault(i, []).append([a, b])
+    for i, ranges in out.items():
+        merged: list[list[int]] = []
+        for a, b in sorted(ranges):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
             else:
-                ranges.append([a, b])
+                merged.append([a, b])
+        out[i] = merged
     return out
 
 

@@ -144,6 +144,11 @@ PAGE = """<html><head><title>No</title><style>p{}</style></head><body><header><h
 <aside>Related stories that one may like to read.</aside><section id="comments"><p>I am a reader. I say a lot of things here.</p></section><footer>&copy; All rights reserved.</footer></body></html>"""
 
 
+def test_a_stray_seed_does_not_cut_a_notice():
+    got = licenses.Scanner().scan("licnsed undr the apche licensed version 2 0")
+    assert got["labels"] == "apache" and [m["label"] for m in got["notices"]] == ["apache"]
+
+
 def test_main_text_of_a_page():
     assert html_text.main_text(PAGE) == "A & B\nFirst para with bold and a link.\nSecond para:\none item\ntwo items\nShort.\nLast para ends here."
 
