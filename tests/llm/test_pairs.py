@@ -1,10 +1,13 @@
 """The n-gram join and decontamination against plain versions."""
 
 import random
+import re
 
-from kindred.llm import decontaminate, shingles
+import numpy as np
+
+from kindred.llm import decontaminate, ngram_join, shingles
 from kindred.llm.graph import components
-from kindred.llm.ngram_join import ngram_jaccard_join
+from kindred.llm.ngram_join import ngram_jaccard_join, one_of_each_group
 
 
 def plain_sets(text):
@@ -82,6 +85,52 @@ def test_join_of_empty_and_repeated_rows(spark):
     assert sorted(map(tuple, ngram_jaccard_join(twice).collect()), key=str) == sorted([(1, 2, 1), (1, 2, 1), (None, 2, 1), (None, 1, None)], key=str)
 
 
+def near_copies(rnd, groups, vocabulary):
+    rows = []
+    for _ in range(groups):
+        words = rnd.choices(vocabulary, k=rnd.choice([8, 25, 60]))
+        for _ in range(rnd.choice([1, 3, 9])):
+            copy = list(words)
+            for _ in range(rnd.choice([0, 1, 1, 3])):
+                copy[rnd.randrange(len(copy))] = rnd.choice(vocabulary)
+            rows.append((len(rows), " ".join(copy[: int(len(copy) * rnd.uniform(0.75, 1))])))
+    return rows
+
+
+def test_join_is_exact_when_all_shingles_are_hot_and_no_group_is_found_by_hashes(spark, monkeypatch):
+    rows = near_copies(random.Random(11), 30, [f"w{i}" for i in range(60)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ngram_join, "BUCKET", 4)  # every cell that is met fills a bucket
+    assert sorted(map(tuple, ngram_jaccard_join(docs).collect())) == plain_components(rows)
+    nothing = lambda pairs, *rest: first.pop()(pairs, *rest)
+    first = [ngram_join._promising] * 9 + [lambda pairs, *rest: ngram_join_promising(pairs, *rest).limit(0)]
+    ngram_join_promising = ngram_join._promising
+    monkeypatch.setattr(ngram_join, "_promising", nothing)  # the stars come to nothing, the matrix finds all
+    assert sorted(map(tuple, ngram_jaccard_join(docs).collect())) == plain_components(rows)
+
+
+def test_bitmaps_never_overstate_a_difference():
+    rnd = np.random.default_rng(3)
+    for _ in range(300):
+        n, m = rnd.integers(1, 400, 2)
+        x = rnd.choice(np.arange(1, 1000, dtype=np.uint64), n, replace=False)
+        y = rnd.choice(np.arange(1, 1000, dtype=np.uint64), m, replace=False)
+        got = ngram_join.least_difference(ngram_join.parity_bits(x), ngram_join.parity_bits(y))
+        assert 0 <= got <= len(np.setxor1d(x, y))
+        assert ngram_join.least_difference(ngram_join.parity_bits(x), ngram_join.parity_bits(x)) == 0
+
+
+def test_one_of_each_group_stays(spark):
+    a, b = "one two three four five six", "another text of seven words in all"
+    rows = [(5, a, "x"), (3, a.upper(), "y"), (3, a.upper(), "z"), (None, a, "n"), (7, b, "x"), (7, "", "e"), (7, "", "e"), (None, "", "e"), (None, None, "e"), (None, "q r", "p"), (None, "q r", "q"), (9, "q", "r"), (7, "some quite different words for the same id", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, its_id string")
+    got = one_of_each_group(docs)
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert kept == sorted([(3, a.upper()), (7, b), (7, ""), (7, ""), (None, ""), (None, None), (None, "q r"), (9, "q"), (7, rows[-1][1])], key=str)
+    assert one_of_each_group(docs.limit(0)).count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(10, 30)] + [(100, i) for i in range(101, 120)] + [(5, 5), (None, 3)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
@@ -164,6 +213,61 @@ def test_items_of_mostly_numbers_are_found(spark):
     assert got == {(0, 0): (1, 1), (1, 1): (5, 5), (2, 2): (1, 1), (3, 3): (1, 1), (4, 2): (1, 1), (4, 4): (5, 5), (10, 3): (1, 1), (11, 1): (1, 1), (13, 2): (1, 1)}
 
 
+def test_short_items_and_repeated_places(spark):
+    words = [f"word{i}" for i in range(32)]
+    items = [(1, "photosynthesis"), (2, "at all"), (3, " ".join(words))]
+    part = " ".join(words[:15])
+    docs = [(1, "plants live by photosynthesis and not at all otherwise"), (2, "At all!"), (3, f"{part} {part}"), (4, f"{part} x {part} y z {part}"), (5, " ".join(words[:25]))]
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.windows) for r in found.collect()} == {(2, 2, 1), (5, 3, 18)}
+
+
+def test_two_values_do_not_become_one(spark):
+    item = "from 7 to 9 it takes less time than from 9 to 7 and more than from 7 to 7 in all of these cases"
+    docs = spark.createDataFrame([(1, item.replace("7", "5").replace("9", "6")), (2, item.replace("7", "5").replace("9", "5"))], "doc_id long, text string")
+    found = decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r.doc_id for r in found.collect()} == {1}
+
+
+def plain_leaks(docs, items):
+    """Verbatim leaks of items without numbers or names: half of the 8-word windows at places at most two steps apart."""
+    out = set()
+    cut = lambda t: [tuple(w[i : i + 8]) for w in [[re.sub("[^0-9a-z]", "", x) for x in t.lower().split()]] for i in range(len(w) - 7)]
+    for d, text in docs:
+        have = {}
+        for i, w in enumerate(cut(text)):
+            have.setdefault(w, []).append(i)
+        for k, item in items:
+            windows = cut(item)
+            places = {}
+            for i, w in enumerate(windows):
+                for at in have.get(w, []):
+                    p = (at - i) // decontaminate.STEP
+                    places.setdefault(p, set()).add(i)
+                    places.setdefault(p - 1, set()).add(i)
+            if places and 2 * max(map(len, places.values())) >= len(windows):
+                out.add((d, k))
+    return out
+
+
+def test_leaks_equal_plain_ones(spark):
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}x" for i in range(300)]
+    items = [(k, " ".join(rnd.choices(vocabulary, k=rnd.choice([9, 20, 50])))) for k in range(25)]
+    docs = []
+    for d in range(120):
+        words = rnd.choices(vocabulary, k=rnd.choice([0, 5, 60]))
+        for _ in range(rnd.choice([0, 1, 2])):
+            part = rnd.choice(items)[1].split()
+            a, b = sorted((rnd.randrange(len(part)), len(part) - rnd.randrange(len(part))))
+            at = rnd.randrange(len(words) + 1)
+            words[at:at] = part[a:b] if rnd.random() < 0.7 else part
+        docs.append((d, " ".join(words)))
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = plain_leaks(docs, items)
+    assert want and {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 def test_leaks_of_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     full = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
