@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kindred.llm import decontaminate as benchmarks
 from kindred.llm import mixing, secrets, toxicity
 from kindred.llm.common import durable, table
-from kindred.llm.ngram_join import ngram_jaccard_join
+from kindred.llm.ngram_join import one_of_each_group
 
 #: Documents that score so much or more are toxic.
 TOXIC = 0.5
@@ -21,14 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
-    found = durable(ngram_jaccard_join(docs))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not again.limit(1).count():
-        return kept
-    once = kept.join(again, "doc_id", "left_anti").select(docs.columns)
-    return once.union(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    return one_of_each_group(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
