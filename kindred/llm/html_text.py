@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,20 +23,27 @@ NEXT, SIBLING = 0.4, 0.8
 #: Weights of the classifier's features (positive: content).
 WEIGHTS = {"article": 6.0, "main": 3.0, "boilerplate_tag": -12.0, "boilerplate_name": -12.0, "page_header": -9.0, "link_share": -5.0, "words": 0.7, "sentence": 0.8, "list_item": -0.6, "bias": -1.2}
 
-# Elements whose text is not shown, elements that end a block, elements of boilerplate, elements without an end.
+# Elements whose text is not shown, elements that end a block, elements of boilerplate, elements that end an open paragraph, elements without an end.
 HIDDEN = frozenset("script style noscript template head title textarea select option button svg iframe object canvas math audio video".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset".split())
+ENDS_P = frozenset("p h1 h2 h3 h4 h5 h6 ul ol div section table article footer aside nav header form".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Parts of class, id and role that mark boilerplate.
-NAMES = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pagination popup promo promoted promotion related replies reply share sharing sidebar signup social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split())
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Words of class, id and role that mark boilerplate where they are a whole token or begin one.
+NAMES = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer gdpr masthead menu modal nav navbar navigation newsletter notification notifications outbrain pagination popup promo promoted promotion related replies reply share sharing sidebar signup social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split())
+# Whole tokens only; words that mark a token's last word as not its subject; words before `header` of a page.
+WHOLE = frozenset("header notice notices site-notice".split())
+NEGATED = frozenset("no not has have with without hide show is non".split())
+PAGE = frozenset("site page main top global web".split())
+# Names that count on an article too.
+SAID = frozenset("comment comments reply replies".split())
+
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>", re.S)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
 _ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)")
-_PART = re.compile(r"[a-z]+")
+_PART = re.compile(r"[^\W_]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
@@ -46,6 +53,9 @@ class Element:
     name: str
     parent: Element | None
     key: int
+    depth: int = 0
+    links: int = 0
+    block: Element | None = None
     hidden: bool = False
     boilerplate: bool = False
     named: bool = False
@@ -58,6 +68,7 @@ class Element:
 class Block:
     owner: Element
     parts: list[str] = field(default_factory=list)
+    solid: bool = False
     linked: int = 0
     text: str = ""
 
@@ -74,47 +85,86 @@ def _hides(rest: str) -> bool:
     return False
 
 
+def _boilerplate_names(rest: str) -> set[str]:
+    """The words by which tokens of class, id and role mark boilerplate.
+
+    A token counts as a whole, by its first word, or by its last unless the
+    first negates it (`no-sidebar`) or it ends in `header` (`entry-header`,
+    but `site-header` counts).
+    """
+    out: set[str] = set()
+    for m in _NAMED.finditer(rest):
+        for token in _CAMEL.sub("-", entities.unescape(m[1]).strip("\"'")).lower().split():
+            parts = _PART.findall(token)
+            if token in WHOLE:
+                out.add(token)
+            elif parts and parts[0] in NAMES:
+                out.add(parts[0])
+            elif len(parts) > 1 and parts[0] not in NEGATED and (parts[-1] in NAMES or parts[-1] == "header" and parts[0] in PAGE):
+                out.add(parts[-1])
+    return out
+
+
 def _child(parent: Element, name: str, rest: str, key: int) -> Element:
-    named = False
-    if rest and ("class" in rest or "id" in rest or "role" in rest or rest.isupper()):
-        for m in _NAMED.finditer(rest):
-            if not NAMES.isdisjoint(_PART.findall(_CAMEL.sub(" ", m[1]).lower())):
-                named = True
+    names: set[str] = set()
+    if rest and (low := rest.lower()) and ("class" in low or "id" in low or "role" in low) and name not in ("body", "html", "main"):
+        names = _boilerplate_names(rest)
+        if name == "article":
+            names &= SAID
+        if parent.article or name == "article":
+            names -= WHOLE  # an article has its own header and notices
     inside = parent.article or name == "article"
-    return Element(
-        name, parent, key,
+    child = Element(
+        name, parent, key, parent.depth + 1, parent.links + (name == "a"), None,
         hidden=parent.hidden or name in HIDDEN or bool(rest) and _hides(rest),
         boilerplate=parent.boilerplate or name in BOILERPLATE,
-        named=parent.named or (named and name not in ("body", "html", "article", "main")),
+        named=(parent.named and name != "main") or bool(names),
         article=inside, main=parent.main or name == "main" or 'role="main"' in rest,
         header=parent.header or (name == "header" and not inside),
     )
+    child.block = child if name in BLOCK else parent.block
+    return child
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The text blocks of a page that are shown, in page order; end tags that are missing are put in."""
+    """The text blocks of a page that are shown, in page order; end tags that are missing are put in.
+
+    Every step takes time that does not grow with the depth of the page, but
+    for elements that it closes.
+    """
     page = page or ""
     root = Element("", None, 0)
-    at, here, links, key = 0, root, 0, 0
+    root.block = root
+    at, here, key = 0, root, 0
+    open_names: Counter[str] = Counter()
     out: list[Block] = []
     block = Block(root)
 
     def close() -> None:
         nonlocal block
-        text = " ".join(entities.unescape("".join(block.parts)).split())
+        text = " ".join("".join(block.parts).split())
         if text:
             block.text = text
             out.append(block)
         block = Block(here)
 
-    def say(text: str) -> None:
+    def say(text: str, written: bool = True) -> None:
         if text and not here.hidden:
-            if not block.parts or not block.text and not "".join(block.parts).strip():
+            if written and "&" in text:
+                text = entities.unescape(text)
+            if not block.solid:
                 block.owner = here
+                block.solid = not text.isspace()
             block.parts.append(text)
-            if links:
+            if here.links:
                 block.linked += len(text)
 
+    def rise(to: Element) -> None:
+        nonlocal here
+        while here is not to:
+            open_names[here.name] -= 1
+            here = here.parent
+
     while True:
         m = _TAG.search(page, at)
         say(page[at : m.start() if m else len(page)])
@@ -122,81 +172,62 @@ def blocks(page: str | None) -> list[Block]:
             break
         at = m.end()
         if m["data"] is not None:
-            say(m["data"].replace("&", "&amp;"))
-        if not m["name"]:
+            say(m["data"], written=False)
+        name, ends, rest = (m["name"], m["end"], m["rest"]) if m["name"] else (m["name2"], m["end2"], m["rest2"])
+        if not name:
             continue
-        name = m["name"].lower()
+        name = name.lower()
         if name == "br":
             say(" ")
-        if m["end"]:
-            up = here
-            while up is not None and up.name != name:
-                up = up.parent
-            if up is not None:
-                if name in BLOCK or any_block(here, up):
-                    here = up.parent
+        if ends:
+            if open_names[name] > 0:
+                up = here
+                while up.name != name:
+                    up = up.parent
+                ends_block = name in BLOCK or here.block.depth > up.depth
+                rise(up.parent)
+                if ends_block:
                     close()
-                else:
-                    here = up.parent
-                links = depth_of_links(here)
             elif name in BLOCK:
                 close()
             continue
-        if name in BLOCK:
-            if name == "p" or name in ("h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "div", "section", "table", "article", "footer", "aside", "nav", "header", "form"):
-                here = close_open(here, "p")
-            if name == "li":
-                here = close_open(here, "li", ("ul", "ol", "menu"))
-            links = depth_of_links(here)
+        if name in ENDS_P:
+            rise(above_open(here, "p"))
+        if name == "li":
+            rise(above_open(here, "li", ("ul", "ol", "menu")))
         key += 1
-        inner = _child(here, name, m["rest"], key)
-        if name in VOID or m["rest"].endswith("/") and name not in BLOCK:
+        inner = _child(here, name, rest, key)
+        if name in VOID or rest.endswith("/") and name not in BLOCK:
             if name in BLOCK:
                 close()
             continue
         here = inner
+        open_names[name] += 1
         if name in BLOCK:
             close()
-        links += name == "a"
         if name in RAW:
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
-            here = inner.parent
+            rise(inner.parent)
     close()
     return out
 
 
-def any_block(here: Element, up: Element) -> bool:
-    while here is not up:
-        if here.name in BLOCK:
-            return True
-        here = here.parent
-    return False
-
-
-def close_open(here: Element, name: str, until: tuple[str, ...] = ()) -> Element:
-    """The parent of the open element `name`, if one is open within the nearest block that holds it."""
-    up = here
-    while up is not None and up.name != name:
-        if up.name in until or up.name in BLOCK and up.name != "p":
+def above_open(here: Element, name: str, until: tuple[str, ...] = ()) -> Element:
+    """The parent of the open element `name`, if one is open within the nearest block that holds it; else `here`."""
+    up = here.block
+    while up.parent is not None:
+        if up.name == name:
+            return up.parent
+        if up.name in until or up.name != "p":
             return here
-        up = up.parent
-    return up.parent if up is not None else here
-
-
-def depth_of_links(here: Element | None) -> int:
-    n = 0
-    while here is not None:
-        n += here.name == "a"
-        here = here.parent
-    return n
+        up = up.parent.block
+    return here
 
 
 def holder(e: Element) -> Element:
     """The element that holds the block's own element: what siblings share."""
-    while e.parent is not None and e.name not in BLOCK:
-        e = e.parent
-    return e.parent or e
+    return e.block.parent or e.block
 
 
 def content_score(b: Block) -> float:
