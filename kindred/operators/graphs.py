@@ -9,37 +9,45 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def matched_cells(table: np.ndarray, names_a: list[str], names_b: list[str]) -> list[tuple[int, int]]:
+    """The cells that greedy_matching takes, in the order in which it takes them."""
+    rows, cols = (np.ones(size, bool) for size in table.shape)
+    out = []
+
+    def best(line: np.ndarray, open_here: bool, free: np.ndarray, name: str, names: list[str]) -> tuple[float, int]:
+        if not open_here or not free.any():
+            return -1.0, -1
+        top = line[free].max()
+        ties = np.flatnonzero(free & (line == top))
+        return top, next((int(t) for t in ties if names[t] == name), int(ties[-1]))
+
+    for i, j in np.ndindex(*table.shape):
+        across, c = best(table[i], rows[i], cols, names_a[i], names_b)
+        down, r = best(table[:, j], cols[j], rows, names_b[j], names_a)
+        if across < 0 and down < 0:
+            continue
+        cell = (i, c) if across > down else (r, j)
+        rows[cell[0]] = cols[cell[1]] = False
+        out.append(cell)
+    return out
+
+
 def greedy_matching(cells: DataFrame, names_a: DataFrame, names_b: DataFrame) -> DataFrame:
     """(pair_id, i, j, similarity) of a greedy one-to-one matching of each pair's table (pair_id, i, j, sim).
 
-    Rows are taken in order, and within a row columns.  At a free cell the
-    greatest value of the row stands against the greatest of the column: the
-    row's wins if it is greater.  Of equal cells one whose two names are equal
-    is taken, else the last.  Taking a cell uses up its row and column.
+    Cells are visited row by row.  A used row or column has nothing left to
+    offer; a cell is passed over only if both its row and its column are used.
+    The best free cell of the row stands against the best free one of the
+    column: the row's is taken if it is greater, else the column's.  Of equal
+    ones, that whose two names are equal is taken, else the last.  Taking a
+    cell uses up its row and its column.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n, m = int(pdf["n"].iloc[0]), int(pdf["m"].iloc[0])
         table = np.zeros((n, m))
         table[pdf["i"], pdf["j"]] = pdf["sim"]
-        a, b = list(pdf["names_a"].iloc[0]), list(pdf["names_b"].iloc[0])
-        free_rows, free_cols = np.ones(n, bool), np.ones(m, bool)
-        out = []
-
-        def pick(line: np.ndarray, free: np.ndarray, same) -> int:
-            ties = np.flatnonzero(free & (line == line[free].max()))
-            return next((int(t) for t in ties if same(t)), int(ties[-1]))
-
-        for i in range(n):
-            for j in range(m):
-                if not (free_rows[i] and free_cols[j]):
-                    continue
-                if table[i, free_cols].max() > table[free_rows, j].max():
-                    r, c = i, pick(table[i], free_cols, lambda t: a[i] == b[t])
-                else:
-                    r, c = pick(table[:, j], free_rows, lambda t: a[t] == b[j]), j
-                free_rows[r] = free_cols[c] = False
-                out.append((pdf["pair_id"].iloc[0], r, c, float(table[r, c])))
+        out = [(pdf["pair_id"].iloc[0], r, c, float(table[r, c])) for r, c in matched_cells(table, list(pdf["names_a"].iloc[0]), list(pdf["names_b"].iloc[0]))]
         return pd.DataFrame(out, columns=["pair_id", "i", "j", "similarity"])
 
     sized = cells.join(names_a.withColumnRenamed("names", "names_a").selectExpr("pair_id", "names_a", "size(names_a) n"), "pair_id").join(names_b.withColumnRenamed("names", "names_b").selectExpr("pair_id", "names_b", "size(names_b) m"), "pair_id")
