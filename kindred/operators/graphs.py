@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import time
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from kindred.functions import similarity
+
+#: Partial mappings that a search looks at, at most.
+STATES = 200_000
 
 
 def matched_cells(table: np.ndarray, names_a: list[str], names_b: list[str]) -> list[tuple[int, int]]:
@@ -75,8 +79,11 @@ def blocks_match(a: str, b: str, threshold: float) -> bool:
     return bool(a) and bool(b) and 1 - _levenshtein(a, b) / max(len(a), len(b)) >= threshold
 
 
-def edit_distance(nodes_a: list[str], edges_a: set[tuple[int, int]], nodes_b: list[str], edges_b: set[tuple[int, int]], threshold: float = 0.8, seconds: float = 30.0) -> float:
-    """Least number of node and edge insertions, deletions and relabellings; the best found when time is up.
+def edit_distance(nodes_a: list[str], edges_a: set[tuple[int, int]], nodes_b: list[str], edges_b: set[tuple[int, int]], threshold: float = 0.8, states: int = STATES) -> tuple[float, bool]:
+    """(least number of node and edge insertions, deletions and relabellings, whether it is proven).
+
+    After `states` partial mappings the best found so far stands, the same on
+    every machine.
 
     Depth-first branch and bound: nodes of the first graph are mapped in order
     to free nodes of the second, matching ones first, or deleted; edges are
@@ -85,7 +92,7 @@ def edit_distance(nodes_a: list[str], edges_a: set[tuple[int, int]], nodes_b: li
     n, m = len(nodes_a), len(nodes_b)
     cost = np.array([[0.0 if blocks_match(x, y, threshold) else 1.0 for y in nodes_b] for x in nodes_a]).reshape(n, m)
     best = [float(n + m + len(edges_a) + len(edges_b))]
-    limit = time.monotonic() + seconds
+    left = [states]
     place: list[int | None] = []
 
     def edges_cost(i: int, j: int | None) -> float:
@@ -96,7 +103,8 @@ def edit_distance(nodes_a: list[str], edges_a: set[tuple[int, int]], nodes_b: li
         return total
 
     def walk(i: int, so_far: float, used: frozenset[int]) -> None:
-        if time.monotonic() > limit or so_far + max(0, (m - len(used)) - (n - i)) >= best[0]:
+        left[0] -= 1
+        if left[0] < 0 or so_far + max(0, (m - len(used)) - (n - i)) >= best[0]:
             return
         if i == n:
             free = m - len(used)
@@ -114,11 +122,15 @@ def edit_distance(nodes_a: list[str], edges_a: set[tuple[int, int]], nodes_b: li
         place.pop()
 
     walk(0, 0.0, frozenset())
-    return best[0]
+    return best[0], left[0] >= 0
+
 
+def graph_similarity(pairs: DataFrame, threshold: float = 0.8, states: int = STATES) -> DataFrame:
+    """(pair_id, similarity, status) of rows (pair_id, nodes_a, src_a, dst_a, nodes_b, src_b, dst_b).
 
-def graph_similarity(pairs: DataFrame, threshold: float = 0.8, seconds: float = 30.0) -> DataFrame:
-    """(pair_id, similarity) of rows (pair_id, nodes_a, src_a, dst_a, nodes_b, src_b, dst_b): 1 - distance / larger number of nodes and edges."""
+    The similarity is 1 - distance / larger number of nodes and edges; status is
+    exact, or bound where the search stopped before the distance was proven.
+    """
 
     def run(batches):
         for pdf in batches:
@@ -126,8 +138,27 @@ def graph_similarity(pairs: DataFrame, threshold: float = 0.8, seconds: float =
             for r in pdf.itertuples(index=False):
                 ea, eb = set(zip(r.src_a, r.dst_a, strict=True)), set(zip(r.src_b, r.dst_b, strict=True))
                 size = max(len(r.nodes_a) + len(ea), len(r.nodes_b) + len(eb))
-                d = edit_distance(list(r.nodes_a), ea, list(r.nodes_b), eb, threshold, seconds)
-                out.append((r.pair_id, 1 - d / size if size else 0.0))
-            yield pd.DataFrame(out, columns=["pair_id", "similarity"])
+                d, proven = edit_distance(list(r.nodes_a), ea, list(r.nodes_b), eb, threshold, states)
+                out.append((r.pair_id, 1 - d / size if size else 0.0, "exact" if proven else "bound"))
+            yield pd.DataFrame(out, columns=["pair_id", "similarity", "status"])
+
+    return pairs.mapInPandas(run, "pair_id string, similarity double, status string")
+
+
+def similarity_tables(left: DataFrame, right: DataFrame, threshold: float = 0.8, states: int = STATES) -> DataFrame:
+    """(pair_id, i, j, sim): every graph of one app against every graph of the other, for greedy_matching.
+
+    Both sides are rows (pair_id, idx, nodes, src, dst); graphs meet only
+    within a pair.
+    """
+    side = lambda df, x, at: df.select("pair_id", F.col("idx").alias(at), *(F.col(c).alias(f"{c}_{x}") for c in ("nodes", "src", "dst")))
+    cells = side(left, "a", "i").join(side(right, "b", "j"), "pair_id")
+    keyed = cells.withColumn("pair_id", F.concat_ws("\x1f", "pair_id", "i", "j"))
+    parts = F.split("pair_id", "\x1f")
+    return graph_similarity(keyed.drop("i", "j"), threshold, states).select(F.get(parts, F.lit(0)).alias("pair_id"), F.get(parts, F.lit(1)).cast("int").alias("i"), F.get(parts, F.lit(2)).cast("int").alias("j"), F.col("similarity").alias("sim"))
+
 
-    return pairs.mapInPandas(run, "pair_id string, similarity double")
+def library_reduced_graphs(names_a: Column, names_b: Column, is_library) -> Column:
+    """Jaccard of two sets of graph names without library ones; 0 if nothing is left."""
+    own = lambda s: F.array_distinct(F.filter(s, lambda x: ~is_library(x)))
+    return similarity.jaccard(own(names_a), own(names_b))

@@ -42,10 +42,10 @@ def layer_scores(tokens: DataFrame, pairs: DataFrame, metric: str = "jaccard") -
     pairs.
     """
     sizes = tokens.groupBy("app_id", "layer").agg(F.count(F.lit(1)).alias("n"))
-    layers = tokens.select("layer").distinct()
+    layers = sorted(r[0] for r in tokens.select("layer").distinct().collect())
     left = pairs.select("a", "b").join(tokens.select(F.col("app_id").alias("a"), "layer", "token"), "a")
     shared = left.join(tokens.select(F.col("app_id").alias("b"), "layer", "token"), ["b", "layer", "token"]).groupBy("a", "b", "layer").agg(F.count(F.lit(1)).alias("shared"))
-    grid = pairs.select("a", "b").withColumn("layer", F.explode(F.lit(sorted(r[0] for r in layers.collect())))) if layers.limit(1).count() else pairs.select("a", "b", F.lit("").alias("layer")).limit(0)
+    grid = pairs.select("a", "b").withColumn("layer", F.explode(F.lit(layers))) if layers else pairs.select("a", "b", F.lit("").alias("layer")).limit(0)
     rows = grid.join(shared, ["a", "b", "layer"], "left")
     rows = rows.join(sizes.select(F.col("app_id").alias("a"), "layer", F.col("n").alias("n_a")), ["a", "layer"], "left")
     rows = rows.join(sizes.select(F.col("app_id").alias("b"), "layer", F.col("n").alias("n_b")), ["b", "layer"], "left").na.fill(0, ["shared", "n_a", "n_b"])
@@ -125,18 +125,31 @@ def layer_counts(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.join(shared, ["a", "b", "layer"], "left").na.fill(0, ["shared", "n_a", "n_b"])
 
 
-def idf_jaccard(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, score): Jaccard with each token weighing ln(N / df), over all layers; 0 if nothing weighs."""
+def _idf_sums(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, both, x, y): weight ln(N / df) of the shared tokens and of each side's, over all layers."""
     n = tokens.agg(F.count_distinct("app_id").alias("docs"))
     weights = tokens.groupBy("layer", "token").agg(F.count_distinct("app_id").alias("df")).join(F.broadcast(n)).select("layer", "token", similarity.idf(F.col("docs"), F.col("df")).alias("w"))  # one row is broadcast
     weighted = tokens.join(weights, ["layer", "token"])
     totals = weighted.groupBy("app_id").agg(F.sum("w").alias("total"))
     inter = pairs.select("a", "b").join(weighted.withColumnRenamed("app_id", "a"), "a").join(tokens.withColumnRenamed("app_id", "b"), ["b", "layer", "token"]).groupBy("a", "b").agg(F.sum("w").alias("both"))
-    rows = pairs.select("a", "b").join(inter, ["a", "b"], "left").join(totals.select(F.col("app_id").alias("a"), F.col("total").alias("x")), "a", "left").join(totals.select(F.col("app_id").alias("b"), F.col("total").alias("y")), "b", "left").na.fill(0.0)
+    total = lambda x, name: totals.select(F.col("app_id").alias(x), F.col("total").alias(name))
+    return pairs.select("a", "b").join(inter, ["a", "b"], "left").join(total("a", "x"), "a", "left").join(total("b", "y"), "b", "left").na.fill(0.0)
+
+
+def idf_jaccard(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, score): Jaccard with each token weighing ln(N / df), over all layers; 0 if nothing weighs."""
+    rows = _idf_sums(tokens, pairs)
     either = F.col("x") + F.col("y") - F.col("both")
     return rows.select("a", "b", F.when(either > 1e-12, F.round(F.col("both") / either, 6)).otherwise(0.0).alias("score"))
 
 
+def idf_tversky(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, tversky_a, tversky_b): the weight of the shared tokens as a share of each side's."""
+    rows = _idf_sums(tokens, pairs)
+    share = lambda c: F.when(F.col(c) > 1e-12, F.round(F.col("both") / F.col(c), 6)).otherwise(0.0)
+    return rows.select("a", "b", share("x").alias("tversky_a"), share("y").alias("tversky_b"))
+
+
 def batch(counts: DataFrame, configs: list[tuple[str, str, float]]) -> DataFrame:
     """(config, a, b, score, passed) of pair counts under several (name, metric, threshold), in one pass."""
     each = F.array(*(F.struct(F.lit(name).alias("config"), similarity.from_counts(metric, F.col("shared"), F.col("n_a"), F.col("n_b")).alias("score"), F.lit(float(t)).alias("threshold")) for name, metric, t in configs))
@@ -150,3 +163,27 @@ def shortcut_rows(candidates: DataFrame) -> DataFrame:
     flags = shortcut_flags(F.col("retrieval_score"), F.col("signature_status"))
     rows = candidates.withColumn("f", flags).where("f.shortcut_applied")
     return rows.select("a", "b", score.alias("full_similarity_score"), score.alias("library_reduced_score"), F.col("f.shortcut_status").alias("status"), F.lit("likely_clone_by_signature").alias("verdict"))
+
+
+def representation_mode(requested: Column, supported: tuple[str, ...]) -> Column:
+    """(mode, warnings): the multi-view mode is served in part, unknown ones by bytecode."""
+    note = F.when(requested == "R_multiview", "R_multiview was downgraded to R_multiview_partial: only the code view is there").when(~requested.isin(*supported), F.format_string("unknown representation mode %s: R_bytecode is used", requested))
+    mode = F.when(requested == "R_multiview", "R_multiview_partial").when(~requested.isin(*supported), "R_bytecode").otherwise(requested)
+    return F.struct(mode.alias("mode"), F.array_compact(F.array(note)).alias("warnings"))
+
+
+def pair_pools(rows: DataFrame) -> DataFrame:
+    """(a, b, pool) of compared apps; a pair may be in several pools.
+
+    `rows` has same_package, same_sha, same_signature, static_overlap,
+    library_overlap and same_category.
+    """
+    c = F.col
+    pools = {
+        "clone": c("same_sha") | (c("same_package") & c("same_signature")) | (c("same_package") & (c("static_overlap") >= 0.8)),
+        "repackage": c("same_package") & ~c("same_sha"),
+        "similar": ~c("same_package") & (c("library_overlap") >= 0.5),
+        "different": ~c("same_package") & (c("library_overlap") < 0.1) & ~c("same_category"),
+    }
+    each = F.array_compact(F.array(*(F.when(holds, name) for name, holds in pools.items())))
+    return rows.select("a", "b", F.explode(each).alias("pool"))

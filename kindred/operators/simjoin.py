@@ -135,10 +135,15 @@ def minhash_native(tokens: DataFrame, num_perm: int = 128, seed: int = 42) -> Da
 
 
 def minhash_md5(tokens: DataFrame, num_perm: int, seed: int = 42) -> DataFrame:
-    """Like minhash_native with 60-bit values from md5, which other SQL engines can work out too."""
-    text = F.concat_ws(":", "layer", "token")
-    value = lambda i: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{i}:"), text).cast("binary")), 1, 15), 16, 10).cast("long")
-    mins = tokens.groupBy("app_id").agg(*(F.min(value(i)).alias(f"m{i}") for i in range(num_perm)))
+    """Like minhash_native with 32-bit values that other SQL engines can work out too.
+
+    One md5 of each token gives two numbers x and y; function i is
+    (x + i * y) mod the greatest prime below 2^32.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "layer", "token").cast("binary"))
+    number = lambda at: F.conv(F.substring("digest", at, 8), 16, 10).cast("long")
+    hashed = tokens.select("app_id", digest.alias("digest")).select("app_id", number(1).alias("x"), number(9).alias("y"))
+    mins = hashed.groupBy("app_id").agg(*(F.min((F.col("x") + i * F.col("y")) % 4294967291).alias(f"m{i}") for i in range(num_perm)))
     return mins.select("app_id", F.array(*(f"m{i}" for i in range(num_perm))).alias("signature"))
 
 

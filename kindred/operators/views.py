@@ -176,3 +176,92 @@ def image_hashes(images: DataFrame, key: str, pixels: str, width: str, height: s
 
     kind = dict(images.dtypes)[key]
     return images.select(key, pixels, width, height).mapInPandas(run, f"{key} {kind}, average_hash string, difference_hash string, wavelet_hash string")
+
+
+def code_fingerprints(methods: DataFrame, k: int = 4) -> DataFrame:
+    """(app_id, method_id, fingerprint) of scanned methods; of a method that comes twice, the first by file and place."""
+    first = methods.where("method_id is not null").groupBy("app_id", "method_id").agg(F.min_by("opcodes", F.struct("file", "pos")).alias("opcodes"))
+    return blake2b_simhash(first, ["app_id", "method_id"], "opcodes", k).select("app_id", "method_id", "fingerprint")
+
+
+def compare_code(methods: DataFrame, pairs: DataFrame, k: int = 4) -> DataFrame:
+    """(a, b, score, status): scanned methods compared from end to end."""
+    return compare_methods(code_fingerprints(methods, k), pairs)
+
+
+def framework_calls(methods: DataFrame) -> DataFrame:
+    """(app_id, method, pos, family): the calls of each method in order, for markov_chain within a method."""
+    return methods.where("size(families) > 0").select("app_id", F.concat_ws("#", "file", "pos").alias("method"), F.posexplode("families").alias("pos", "family"))
+
+
+def icon_similarity(a: Column, b: Column) -> Column:
+    """1 - hamming / 64 of two icon tokens with the same method (`dhash` where none is named), null otherwise."""
+    method = lambda x: F.when(x.rlike("^icon_phash:[0-9a-fA-F]{16}$"), "dhash").when(x.rlike("^icon_phash:(whash|dhash):[0-9a-fA-F]{16}$"), F.split_part(x, F.lit(":"), F.lit(2)))
+    value = lambda x: F.conv(F.element_at(F.split(x, ":"), -1), 16, -10).cast("long")
+    return F.when(method(a) == method(b), 1 - similarity.hamming(value(a), value(b)) / 64)
+
+
+#: Kinds of resource tokens and the names of their scores.
+RESOURCE_SUBSETS = {"string": "res_strings_score", "drawable": "res_drawables_score", "layout": "res_layouts_score", "asset": "assets_bin_score"}
+
+
+def compare_resource_subsets(counts: DataFrame, pairs: DataFrame, icons: DataFrame) -> DataFrame:
+    """(a, b, a score for each subset, jaccard, icon_phash_similarity, combined_score, status).
+
+    `counts` has (a, b, subset, shared, n_a, n_b), `icons` (app_id, icon).  The
+    combined score is the mean over subsets that either side has and the icons
+    if both have one; without any of these the status is both_empty, with all
+    ok, else partial.
+    """
+    either = F.col("n_a") + F.col("n_b") - F.col("shared")
+    known = counts.where(either > 0)
+    one = [F.max(F.when(F.col("subset") == s, F.col("shared") / either)).alias(name) for s, name in RESOURCE_SUBSETS.items()]
+    wide = known.groupBy("a", "b").agg(*one, F.sum("shared").alias("both"), F.sum(either).alias("either"))
+    icon = lambda x: icons.select(F.col("app_id").alias(x), F.col("icon").alias(f"icon_{x}"))
+    rows = pairs.select("a", "b").join(wide, ["a", "b"], "left").join(icon("a"), "a", "left").join(icon("b"), "b", "left").withColumn("icon", icon_similarity(F.col("icon_a"), F.col("icon_b")))
+    parts = F.filter(F.array(*RESOURCE_SUBSETS.values(), "icon"), lambda x: x.isNotNull())
+    total = F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)
+    status = F.when(F.size(parts) == 0, "both_empty").when(F.size(parts) == len(RESOURCE_SUBSETS) + 1, "ok").otherwise("partial")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return rows.select(
+        "a", "b", *(zero(F.col(n)).alias(n) for n in RESOURCE_SUBSETS.values()), zero(F.col("both") / F.col("either")).alias("jaccard"), zero(F.col("icon")).alias("icon_phash_similarity"),
+        F.when(F.size(parts) > 0, total / F.size(parts)).otherwise(0.0).alias("combined_score"), status.alias("status"),
+    )
+
+
+def compare_library_sets(a: Column, b: Column) -> Column:
+    """jaccard, tversky in both directions (0.9 and 0.1), overlap, and shared and own libraries of two sets."""
+    empty = F.size(a) + F.size(b) == 0
+    return F.struct(
+        similarity.jaccard(a, b).alias("jaccard"), similarity.tversky(a, b, 0.9, 0.1).alias("tversky_ab"), similarity.tversky(a, b, 0.1, 0.9).alias("tversky_ba"), similarity.overlap_min(a, b).alias("overlap"),
+        F.array_sort(F.array_intersect(a, b)).alias("shared"), F.array_sort(F.array_except(a, b)).alias("only_a"), F.array_sort(F.array_except(b, a)).alias("only_b"), F.when(empty, "both_empty").otherwise("ok").alias("status"),
+    )
+
+
+#: Weights of the parts of shared libraries' fingerprints.
+NATIVE_WEIGHTS = {"imports": 0.35, "exports": 0.35, "strings": 0.20, "needed": 0.10}
+
+
+def compare_native(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """(score, status): Jaccards of imported and exported names, strings and needed libraries by weight; empty on both sides: 0."""
+    total, some = F.lit(0.0), F.lit(False)
+    for part, weight in NATIVE_WEIGHTS.items():
+        total = total + weight * similarity.jaccard(a[part], b[part])
+        some = some | (F.size(a[part]) + F.size(b[part]) > 0)
+    return F.struct(total.alias("score"), F.when(some, "ok").otherwise("empty").alias("status"))
+
+
+def native_sets(libraries: DataFrame) -> DataFrame:
+    """(app_id, imports, exports, strings, needed): the parts of all of an app's shared libraries as sets."""
+    return libraries.groupBy("app_id").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(p)))).alias(p) for p in NATIVE_WEIGHTS))
+
+
+def bit_jaccard(positions: DataFrame, pairs: DataFrame, entity: str = "app_id") -> DataFrame:
+    """(a, b, score, status): Jaccard of two bit sets to six digits; empty if neither has a bit."""
+    sizes = positions.groupBy(entity).agg(F.count(F.lit(1)).alias("n"))
+    side = lambda x: positions.select(F.col(entity).alias(x), "pos")
+    shared = pairs.join(side("a"), "a").join(side("b"), ["b", "pos"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("s"))
+    size = lambda x: sizes.select(F.col(entity).alias(x), F.col("n").alias(f"n_{x}"))
+    rows = pairs.select("a", "b").join(shared, ["a", "b"], "left").join(size("a"), "a", "left").join(size("b"), "b", "left").na.fill(0, ["s", "n_a", "n_b"])
+    either = F.col("n_a") + F.col("n_b") - F.col("s")
+    return rows.select("a", "b", F.when(either > 0, F.round(F.col("s") / either, 6)).otherwise(0.0).alias("score"), F.when(either > 0, "ok").otherwise("empty").alias("status"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,10 +44,9 @@ words AS (
 
 def document_shingles(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
     """(app_id, layer, token): distinct k-word shingles; documents of fewer words have none."""
-    w = Window.partitionBy("app_id").orderBy("pos")
-    parts = [F.col("word"), *(F.lead("word", i).over(w) for i in range(1, k))]
-    rows = document_words(spark, sf_dir).select("app_id", F.concat_ws(" ", *parts).alias("token"), parts[-1].alias("last"))
-    return rows.where("last is not null").select("app_id", F.lit("code").alias("layer"), "token").distinct()
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("app_id"), F.filter(F.split(F.lower("text"), "[ \n]+"), lambda w: w != "").alias("w"))
+    every = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice(F.col("w"), i, k), " "))
+    return docs.where(F.size("w") >= k).select("app_id", F.lit("code").alias("layer"), F.explode(F.array_distinct(every)).alias("token"))
 
 
 DOCUMENT_SHINGLES = (

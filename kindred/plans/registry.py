@@ -94,9 +94,10 @@ def query_corpus_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simjoin.query_corpus_join(code.where("app_id % 10 = 0"), code, "jaccard", 0.14)
 
 
-_SLOT = "min(CAST('0x' || substr(md5('42:{i}:' || layer || ':' || token), 1, 15) AS BIGINT))"
 _SIGS = f"""{DOCUMENT_SHINGLES},
-sig AS (SELECT app_id, {", ".join(f"{_SLOT.format(i=i)} AS m{i}" for i in range(12))} FROM sh GROUP BY 1),
+md AS (SELECT app_id, md5('42:' || layer || ':' || token) AS d FROM sh),
+xy AS (SELECT app_id, CAST('0x' || substr(d, 1, 8) AS BIGINT) AS x, CAST('0x' || substr(d, 9, 8) AS BIGINT) AS y FROM md),
+sig AS (SELECT app_id, {", ".join(f"min((x + {i} * y) % 4294967291) AS m{i}" for i in range(12))} FROM xy GROUP BY 1),
 bands AS ({" UNION ALL ".join(f"SELECT app_id, {k} AS band, [{', '.join(f'm{3 * k + j}' for j in range(3))}] AS bk FROM sig" for k in range(4))}),
 cand AS (SELECT DISTINCT x.app_id AS a, y.app_id AS b FROM bands x JOIN bands y ON x.band = y.band AND x.bk = y.bk AND x.app_id < y.app_id)"""
 
@@ -576,9 +577,9 @@ t AS (SELECT code, component, library, bin, count(*) FILTER (label = 1) AS p, co
 c AS (SELECT code, component, library, bin / 50 AS threshold, sum(p) OVER d AS tp, sum(q) OVER d AS fp, sum(p) OVER w - sum(p) OVER d AS fn, sum(q) OVER w - sum(q) OVER d AS tn FROM t
   WINDOW d AS (PARTITION BY code, component, library ORDER BY bin DESC ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY code, component, library)),
 m AS (SELECT *, {_MEASURES} FROM c)
-SELECT max(f1) AS f1 FROM m""")
+SELECT code, component, library, threshold, f1 FROM m ORDER BY f1 DESC, youden DESC, fpr, threshold DESC, code, component, library LIMIT 1""")
 def weight_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best F1 over a simplex of layer weights and binned thresholds."""
+    """The weights, of a simplex, and the binned threshold with the best F1."""
     layers = ["code", "component", "library"]
     wide = layer_scores(spark, sf_dir).groupBy("a", "b").agg(*(F.max(F.when(F.col("layer") == x, F.col("score"))).alias(x) for x in layers)).withColumn("label", F.when((F.col("a") + F.col("b")) % 3 == 0, 1).otherwise(0))
-    return evaluate.weight_search(wide, layers, 4, 50).agg(F.max("f1").alias("f1"))
+    return evaluate.weight_search(wide, layers, 4, 50).select(*layers, "threshold", "f1")

@@ -1,13 +1,15 @@
 """Joins, masks, scores, evidence, evaluation, views and graphs on small inputs."""
 
 import hashlib
+import os
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import evaluate, evidence, graphs, masks, scoring, simjoin, views
+from kindred.operators import evaluate, evidence, graphs, masks, pairs, scoring, simjoin, views
 
 
 def make(spark, sets, layer="code"):
@@ -177,6 +179,64 @@ def test_greedy_matching_and_graph_distance(spark):
     got = {(r.i, r.j, r.similarity) for r in m.collect()}
     assert len({i for i, _, _ in got}) == len({j for _, j, _ in got}) == 2
     assert graphs.matching_score(m, a, a).first().score == pytest.approx(sum(s for _, _, s in got) / 2)
-    assert graphs.edit_distance(["aa", "bb"], {(0, 1)}, ["aa", "bb"], {(0, 1)}) == 0
-    assert graphs.edit_distance(["aa", "bb"], {(0, 1)}, ["aa"], set()) == 2
-    assert graphs.edit_distance([], set(), ["aa"], {(0, 0)}) == 2
+    assert graphs.edit_distance(["aa", "bb"], {(0, 1)}, ["aa", "bb"], {(0, 1)}) == (0, True)
+    assert graphs.edit_distance(["aa", "bb"], {(0, 1)}, ["aa"], set()) == (2, True)
+    assert graphs.edit_distance([], set(), ["aa"], {(0, 0)}) == (2, True)
+    assert graphs.edit_distance(["ab"] * 6, set(), ["cd"] * 6, set(), states=5)[1] is False
+    g = "array<string>, src_{0} array<int>, dst_{0} array<int>".format
+    pair = spark.createDataFrame([("p", ["aa", "bb"], [0], [1], ["aa"], [], [])], f"pair_id string, nodes_a {g('a')}, nodes_b {g('b')}")
+    assert tuple(graphs.graph_similarity(pair).first()) == ("p", pytest.approx(1 / 3), "exact")
+    side = spark.createDataFrame([("p", 0, ["aa"], [], []), ("p", 1, ["zz", "aa"], [], [])], "pair_id string, idx int, nodes array<string>, src array<int>, dst array<int>")
+    assert {(r.i, r.j, r.sim) for r in graphs.similarity_tables(side, side).collect()} == {(0, 0, 1.0), (1, 1, 1.0), (0, 1, 0.5), (1, 0, 0.5)}
+
+
+def test_greedy_matching_takes_cells_of_used_rows_whose_column_is_free():
+    rnd = np.random.default_rng(2)
+    for _ in range(200):
+        table = rnd.integers(0, 4, (4, 4)) / 4
+        names = [[f"n{x}" for x in rnd.integers(0, 6, 4)] for _ in range(2)]
+        assert graphs.matched_cells(table, *names) == plain_matching(table, *names)
+
+
+def plain_matching(table, a, b):
+    left, out = table.copy(), []
+
+    def pick(line, name, names):
+        if line.max() == -1:
+            return -1, -1
+        for k in np.flatnonzero(line == line.max()):
+            if names[k] == name:
+                break
+        return k, line.max()
+
+    for i in range(len(a)):
+        for j in range(len(b)):
+            (c, x), (r, y) = pick(left[i], a[i], b), pick(left[:, j], b[j], a)
+            if x == y == -1:
+                continue
+            at = (i, c) if x > y else (r, j)
+            left[at[0]] = left[:, at[1]] = -1
+            out.append((int(at[0]), int(at[1])))
+    return out
+
+
+def spin(row):
+    while row["pair_id"] == "slow":
+        pass
+    if row["pair_id"] == "bad":
+        raise ValueError("no")
+    if row["pair_id"] == "crash":
+        os._exit(3)
+    return row["x"] / 2
+
+
+def test_pairs_have_deadlines_and_fail_alone(spark):
+    rows = [(i, n, float(i)) for i, n in enumerate(["one", "slow", "bad", "two"])]
+    schema = "pos long, pair_id string, x double"
+    for apart in (False, True):
+        more = [*rows, (4, "crash", 1.0), (5, "last", 8.0)] if apart else rows
+        got = pairs.map_pairs(spark.createDataFrame(more, schema), spin, 0.3, apart).orderBy("pos").collect()
+        want = [("one", 0.0, "success", None), ("slow", None, "budget_exceeded", "pair_timeout"), ("bad", None, "analysis_failed", "ValueError: no"), ("two", 1.5, "success", None)]
+        want += [("crash", None, "analysis_failed", "worker_crashed"), ("last", 4.0, "success", None)] if apart else []
+        assert [(r.pair_id, r.score, r.status, r.reason) for r in got] == want
+    assert pairs.incidents(pairs.map_pairs(spark.createDataFrame(rows, schema), spin, 0.3)).collect()[0].pair_id == "slow"
