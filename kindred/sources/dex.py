@@ -118,15 +118,14 @@ def method_rows(files: list[tuple[str, bytes]]) -> Iterator[tuple]:
     not define, in the order of the code.  A file that cannot be parsed gives
     one row with its status.
     """
-    parsed = []
+    parsed, own = [], set()
     for name, raw in files:
         try:
-            parsed.append((name, CodeFile(raw)))
-        except ValueError:
+            code = CodeFile(raw)
+            own.update([c for c, _ in code.classes()])
+            parsed.append((name, code))
+        except (ValueError, IndexError, struct.error):
             yield name, None, None, None, None, "unreadable"
-    own: set[str] = set()
-    for _, code in parsed:
-        own.update(c for c, _ in code.classes())
     for name, code in parsed:
         rows: list[tuple] = []
         try:
