@@ -1,10 +1,12 @@
 """Toxicity by a weighted lexicon that is matched with an Aho-Corasick automaton.
 
-Texts are folded first (compatibility forms, homoglyphs, digits and signs that
-stand for letters inside a word).  Entries are whole words and word beginnings
+Texts are folded first (compatibility forms, marks on letters, homoglyphs,
+digits and signs that stand for letters inside a word).  Entries are whole words and word beginnings
 that labelled documents show to be much more frequent in toxic texts; each has
-the log-odds as weight.  A document's hits are summed, exception phrases do not
-count, and the sum, plain and by length, goes through a logistic curve.
+the log-odds as weight.  Exception phrases are pairs of words with a hit that
+clean documents have and toxic ones do not; hits inside them do not count.  A
+document's hits are summed, and the sum, plain and by length, goes through a
+logistic curve.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,16 +38,19 @@ BY_CHANCE, ODDS = 0.1, 1.5
 WIDER, CLEARER = 1.3, 0.7
 #: Lengths of the word beginnings that are considered.
 STEMS = range(3, 9)
-#: Phrases whose words do not count as hits.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "stupid question")
+#: Clean documents that have an exception phrase, at least, and exception phrases, at most.
+SPARED, PHRASES = 3, 10_000
 
 # Letters that look like Latin ones.
 HOMOGLYPHS = str.maketrans("аеорсухіјѕԁһӏνοαεικρτυ", "aeopcyxijsdhlvoaeikptu")
 # Digits and signs that stand for letters.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 
-_LEET_DIGIT = re.compile(r"(?<=[^\W\d_])[013457]|[013457](?=[^\W\d_])")
+_LEET_DIGITS = re.compile(r"[013457]+")
 _LEET_SIGN = re.compile(r"(?<=[^\W\d_])[@$!](?=[^\W\d_])")
+_LETTER = re.compile(r"[^\W\d_]")
+_MARKS = re.compile("[\u0300-\u036f]+")
+_FROM_DIGITS = str.maketrans({k: v for k, v in LEET.items() if k.isdigit()})
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -52,11 +58,15 @@ def fold(text: str | None) -> str:
     """The words of a text in folded form, each between single spaces."""
     text = (text or "").lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(HOMOGLYPHS)
+        text = unicodedata.normalize("NFKC", _MARKS.sub("", unicodedata.normalize("NFKD", text))).translate(HOMOGLYPHS)
     text = _LEET_SIGN.sub(lambda m: LEET[m[0]], text)
-    last = None
-    while last != text:  # a letter that a digit turned into may stand beside the next digit
-        last, text = text, _LEET_DIGIT.sub(lambda m: LEET[m[0]], text)
+
+    def letters(m: re.Match) -> str:  # a run of such digits stands for letters if a letter is beside it
+        a, b = m.span()
+        beside = a > 0 and _LETTER.match(text, a - 1) or b < len(text) and _LETTER.match(text, b)
+        return m[0].translate(_FROM_DIGITS) if beside else m[0]
+
+    text = _LEET_DIGITS.sub(letters, text)
     return f" {_OTHER.sub(' ', text).strip()} "
 
 
@@ -117,7 +127,7 @@ def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
 class Lexicon:
     weights: dict[str, float]
     curve: tuple[float, float, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
 
     def matcher(self):
         """A function from text to (weights of hits, summed up, and words)."""
@@ -140,7 +150,13 @@ class Lexicon:
                     spared.append((start, end))
                 else:
                     hits[start] = max(weight, hits.get(start, (0.0, "")))
-            times = Counter(hit for at, hit in hits.items() if not any(a <= at < b for a, b in spared))
+            if spared:
+                begins = sorted(a for a, _ in spared)
+                last, reach = {}, -1
+                for a, b in sorted(spared):
+                    last[a] = reach = max(reach, b)
+                hits = {at: hit for at, hit in hits.items() if not (k := bisect_right(begins, at)) or at >= last[begins[k - 1]]}
+            times = Counter(hits.values())
             total = sum(w * (1 + math.log(n)) for (w, _), n in sorted(times.items()))  # the same entry again tells less
             return total, folded.count(" ") - 1
 
@@ -152,6 +168,28 @@ class Lexicon:
         return np.where(total > 0, 1 / (1 + np.exp(-np.clip(x, -30, 30))), 1 / (1 + math.exp(-min(max(a, -30), 30))))
 
 
+def _phrase_counter(lexicon: Lexicon):
+    """Counts documents, by label, for each pair of neighbouring words of which one is a hit."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stems = {e for e in lexicon.weights if not e.endswith(" ")}
+        known: dict[str, bool] = {}
+        for pdf in batches:
+            seen: Counter[tuple[str, int]] = Counter()
+            for text, label in zip(pdf["text"], pdf["label"], strict=True):
+                words, pairs = fold(text).split(), set()
+                for w in set(words):
+                    if w not in known:
+                        known[w] = f" {w} " in lexicon.weights or any(f" {w[:n]}" in stems for n in STEMS)
+                for a, b in zip(words, words[1:]):  # noqa: B905
+                    if known[a] or known[b]:
+                        pairs.add((f"{a} {b}", label))
+                seen.update(pairs)
+            yield pd.DataFrame([(p, *((n, 0) if label else (0, n))) for (p, label), n in seen.items()], columns=["phrase", "toxic", "clean"])
+
+    return run
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
     """Coefficients, the intercept first, by Newton's method."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -166,17 +204,18 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
     return w
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, out: int, most: int) -> DataFrame:
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, out: int, most: int, worst=F.max) -> DataFrame:
     """(doc_id, text, label) of at most `most` labelled documents of each label.
 
     Rows whose remainder is `out` are left out.  Which rows come in is settled
-    by a hash of doc_id; a document with several labels has the greatest.
+    by a hash of doc_id; a document with several labels has what `worst` makes
+    of them, and one with several texts the greatest text.
     """
     marks = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    marks = marks.where(held_out_remainder("doc_id", modulus) != out).groupBy("doc_id").agg(F.max("label").alias("label"))
+    marks = marks.where(held_out_remainder("doc_id", modulus) != out).groupBy("doc_id").agg(worst("label").alias("label"))
     parts = [marks.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for v in (0, 1)]
     few = F.broadcast(parts[0].union(parts[1]))  # 2 * most rows of two numbers
-    return docs.select("doc_id", "text").join(few, "doc_id")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(few, "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text")).select("doc_id", "text", "label")
 
 
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, out: int = 0) -> Lexicon:
@@ -191,6 +230,9 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, out: int = 0) ->
     toxic = {r[0]: r[1] for r in toxic.orderBy(F.desc("docs"), "entry").limit(CANDIDATES).collect()}
     clean = sample.where("label = 0").select("text").mapInPandas(_counter(frozenset(toxic)), schema).groupBy("entry").agg(total)
     lexicon = Lexicon(choose(toxic, {r[0]: r[1] for r in clean.collect()}, sizes[1], sizes[0]), (0.0, 0.0, 0.0))
+    if lexicon.weights:
+        phrases = sample.select("text", "label").mapInPandas(_phrase_counter(lexicon), "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        lexicon.exceptions = tuple(sorted(r[0] for r in phrases.where((F.col("toxic") == 0) & (F.col("clean") >= SPARED)).orderBy(F.desc("clean"), "phrase").limit(PHRASES).collect()))
     rows = sample.mapInPandas(_sums(lexicon), "doc_id long, total double, words long, label int").select("total", "words", "label").collect()
     total, words, y = (np.array([r[i] for r in rows], float) for i in range(3))
     x = np.column_stack([np.log1p(total), np.log1p(100 * total / (words + 50))])
