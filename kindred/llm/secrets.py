@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_name
+
 #: Kinds in the order in which they are listed.
 KINDS = ("assign", "access", "hex", "entropy")
 #: Pattern of each plain kind, the group that counts, and its least length.
@@ -23,17 +25,19 @@ PLAIN = {"assign": (ASSIGN, 2, 8), "access": (r"AKIA[A-Z0-9]+", 0, 16), "hex": (
 GATE = {"assign": ASSIGN, "access": "AKIA", "hex": r"[0-9a-f]{32}"}
 
 #: Characters of a candidate, its least length, and the window.
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_=.-]{20})[A-Za-z0-9+/_=-]++(?:\.[A-Za-z0-9+/_=-]++)*+"
 WINDOW = 20
-#: Classes: the pattern of the whole candidate, and bits of entropy in a window from which it counts.
-CLASSES = {"hex": (r"^[0-9a-fA-F]+$", 2.9), "alnum": (r"^[A-Za-z0-9]+$", 3.6), "base64": (r"", 3.75)}
-#: Candidates that match one of these are no secrets.
+#: Classes, the first that fits counts: the pattern of the whole candidate, and bits of entropy in a window from which it counts.
+CLASSES = {"hex": (r"^[0-9a-fA-F]+$", 2.9), "letters": (r"^[A-Za-z]+$", 3.9), "alnum": (r"^[A-Za-z0-9]+$", 3.6), "dotted": (r"\.", 3.85), "base64": (r"", 3.75)}
+#: Candidates that match one of these as a whole are no secrets: letters of one case, digits alone, UUIDs,
+#: placeholders, the alphabet and the digits in order, and words and short numbers between separators.
 ALLOWED = (
-    r"(?i)example|sample|dummy|placeholder|changeme",
+    r"^(?:[a-z+/_=.-]+|[A-Z+/_=.-]+|[0-9+/_=.-]+)$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"0123456789|abcdefghijklm",
-    r"^(https?|www)|/[a-z]+/[a-z]+/",
+    r"^(?i:example|sample|dummy|placeholder|changeme|insert|here|your|secret|token|key|api|value|test|x|[+/_=.-]|[0-9]{1,2}(?![0-9]))++$",
+    r"^(?i:abcdefghijklmnopqrstuvwxyz|0?123456789|[+/_=.-])++$",
+    r"^(?:[+/_=.-]|[A-Za-z][a-z]{2,}+|[A-Z]{2,6}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[a-z]{1,2}(?![A-Za-z0-9])|[0-9]{1,4}(?![0-9]))++$",
 )
 
 _SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
@@ -70,7 +74,7 @@ def _whole(length: Column, least: int):
 def _high_entropy(candidate: Column) -> Column:
     """(a, b) from the first to the last window of the candidate over its class's threshold, or null."""
     bits = F.lit(CLASSES["base64"][1])
-    for name in ("alnum", "hex"):
+    for name in ("dotted", "alnum", "letters", "hex"):
         bits = F.when(candidate.rlike(CLASSES[name][0]), CLASSES[name][1]).otherwise(bits)
     allowed = F.lit(False)
     for pattern in ALLOWED:
@@ -121,9 +125,10 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     these two names are replaced); an empty table stays empty.
     """
     base, more = secret_spans(F.col("text"))
-    fresh = F.filter("_more", lambda m: ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    out = docs.withColumn("base_spans", base).withColumn("_more", more)
-    return out.withColumn("secret_spans", F.when(F.size("_more") > 0, F.array_sort(F.concat("base_spans", fresh))).otherwise(F.col("base_spans"))).drop("_more")
+    added = fresh_name("added", docs.columns)
+    fresh = F.filter(added, lambda m: ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    out = docs.withColumn("base_spans", base).withColumn(added, more)
+    return out.withColumn("secret_spans", F.when(F.size(added) > 0, F.array_sort(F.concat("base_spans", fresh))).otherwise(F.col("base_spans"))).drop(added)
 
 
 def spans_text(spans: str) -> Column:
@@ -132,7 +137,12 @@ def spans_text(spans: str) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """`docs` with each secret in `text` replaced by `mark`; overlapping spans become one."""
+    """`docs` with each secret in `text` replaced by `mark`; overlapping spans become one.
+
+    Null texts stay null and empty ones empty; all other columns, those named
+    base_spans and secret_spans too, and repeated rows stay as they are; an
+    empty table stays empty.
+    """
     text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
@@ -142,4 +152,6 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = _let(F.aggregate("secret_spans", start, step), lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
-    return scan_secrets(docs).withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(text)).select(docs.columns)
+    kept = {c: fresh_name(f"its_{c}", docs.columns) for c in docs.columns if c.lower() in ("base_spans", "secret_spans")}
+    found = scan_secrets(docs.withColumnsRenamed(kept)).withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(text))
+    return found.select(*(F.col(kept.get(c, c)).alias(c) for c in docs.columns))
