@@ -10,6 +10,7 @@ Plain phrases of words are found first and keep their labels.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,10 +26,17 @@ NOTICES = {
     "licensed under the apache license version 2 0": ("apache", "apache"),
     "this work is licensed under the gnu general public license": ("gpl", "general public"),
     "licensed under the gnu lesser general public license": ("lgpl", "lesser general"),
+    "licensed under the gnu affero general public license": ("agpl", "affero"),
     "redistribution and use in source and binary forms with or without modification": ("bsd", "redistribution"),
+    "permission to use copy modify and or distribute this software for any purpose": ("isc", "permission to use"),
     "subject to the terms of the mozilla public license": ("mpl", "mozilla"),
+    "made available under the terms of the eclipse public license": ("epl", "eclipse"),
+    "this software is provided as is without any express or implied warranty": ("zlib", "provided as is"),
     "this is free and unencumbered software released into the public domain": ("unlicense", "unencumbered"),
+    "boost software license version 1 0": ("boost", "boost software"),
     "licensed under a creative commons attribution": ("cc", "creative commons"),
+    "spdx license identifier": ("spdx", "spdx"),
+    "all rights reserved": ("reserved", "rights reserved"),
 }
 #: One edit for so many characters of a notice.
 CHARS_PER_EDIT = 10
@@ -51,7 +59,35 @@ class Notice:
         self.seeds = [(self.text[a:b], a) for a, b in zip(cuts, cuts[1:], strict=False)]
         self.pattern = regex.compile(rf"(?e)(?:{regex.escape(self.text, special_only=True, literal_spaces=True)}){{e<={self.edits}}}")
         #: The telling words may have an edit for every fifth character.
-        self.telling = regex.compile(rf"(?:{regex.escape(self.key, special_only=True, literal_spaces=True)}){{e<={len(self.key) // 5}}}")
+        self.masks: dict[str, int] = {}
+        for i, char in enumerate(self.text):
+            self.masks[char] = self.masks.get(char, 0) | 1 << i
+        spare = len(self.key) // 5
+        self.telling = regex.compile(rf"(?:{regex.escape(self.key, special_only=True, literal_spaces=True)}){{e<={spare}}}")
+        at = [len(self.key) * i // (spare + 1) for i in range(spare + 2)]
+        self.key_parts = [self.key[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def distance(self, window: str) -> int:
+        """The edits between the notice and the part of the window nearest to it (Myers's bit vectors), a cheap test before the regex."""
+        size = len(self.text)
+        last, whole = 1 << (size - 1), (1 << size) - 1
+        up, down, score, least = whole, 0, size, size
+        for char in window:
+            same = self.masks.get(char, 0)
+            diagonal = (((same & up) + up) ^ up) | same | down
+            more, less = down | ~(diagonal | up) & whole, up & diagonal
+            score += bool(more & last) - bool(less & last)
+            least = min(least, score)
+            more, less = more << 1 & whole, less << 1 & whole
+            up, down = (less | ~(diagonal | more)) & whole, more & diagonal
+        return least
+
+    def near(self, flat: str, a: int, b: int) -> tuple[int, int, int] | None:
+        """(start, end, edits) of the notice in flat[a:b]; one part of the telling words is there unchanged."""
+        if a >= b or all(flat.find(part, a, b) < 0 for part in self.key_parts) or self.distance(flat[a:b]) > self.edits:
+            return None
+        m = self.pattern.search(flat, a, b)
+        return (m.start(), m.end(), sum(m.fuzzy_counts)) if m and self.telling.search(m[0]) else None
 
 
 def _automaton(notices: list[Notice]):
@@ -68,26 +104,6 @@ def _automaton(notices: list[Notice]):
     return machine
 
 
-def _spots(found, notices: list[Notice]) -> dict[int, list[list[int]]]:
-    """For each notice the merged ranges in which it could stand."""
-    out: dict[int, list[list[int]]] = {}
-    for end, (length, owners) in found:
-        for i, at in owners:
-            notice = notices[i]
-            start = end - length + 1 - at
-            a, b = start - notice.edits, start + len(notice.text) + notice.edits
-            out.setdefault(i, []).append([a, b])
-    for i, ranges in out.items():
-        merged: list[list[int]] = []
-        for a, b in sorted(ranges):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        out[i] = merged
-    return out
-
-
 class Scanner:
     def __init__(self, phrases: dict[str, str] = PHRASES, notices: dict[str, tuple[str, str]] = NOTICES):
         self.phrases = [(re.compile(rf"(?<= ){re.escape(p)}(?= )"), label) for p, label in phrases.items()]
@@ -97,12 +113,15 @@ class Scanner:
     def scan(self, text: str | None) -> dict:
         words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
         flat = f" {' '.join(words)} "
+        starts = [1]  # of the words in `flat`
+        for w in words:
+            starts.append(starts[-1] + len(w) + 1)
         places, base = [], set()
         for pattern, label in self.phrases:
             for m in pattern.finditer(flat):
-                places.append(flat.count(" ", 0, m.start()) - 1)
+                places.append(bisect_left(starts, m.start()))
                 base.add(label)
-        matches = self._notices(flat)
+        matches = self._notices(flat, starts)
         labels = base | {m["label"] for m in matches}
         score = 1.0 if base else max((1 - m["edits"] / len(m["notice"]) for m in matches), default=0.0)
         return {
@@ -110,17 +129,26 @@ class Scanner:
             "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": score, "notices": matches,
         }
 
-    def _notices(self, flat: str) -> list[dict]:
+    def _notices(self, flat: str, starts: list[int]) -> list[dict]:
+        spots: dict[int, set[int]] = {}
+        for end, (length, owners) in self.machine.iter(flat):
+            for i, at in owners:
+                spots.setdefault(i, set()).add(end - length + 1 - at)
         out = []
-        for i, ranges in sorted(_spots(self.machine.iter(flat), self.notices).items()):
-            notice = self.notices[i]
-            for a, b in ranges:
-                for m in notice.pattern.finditer(flat, max(a, 0), min(b, len(flat))):
-                    if not notice.telling.search(m[0]):
-                        continue
-                    start = m.start() + (flat[m.start()] == " ")
-                    end = m.end() - (flat[m.end() - 1] == " ")
-                    out.append({"label": notice.label, "notice": notice.text, "edits": sum(m.fuzzy_counts), "first_word": flat.count(" ", 0, start) - 1, "last_word": flat.count(" ", 0, end) - 1})
+        for i, begins in sorted(spots.items()):
+            notice, done = self.notices[i], 0
+            for begin in sorted(begins):
+                if begin + notice.edits < done:  # inside the match before
+                    continue
+                if begin >= done and flat.startswith(notice.text, begin):
+                    found = (begin, begin + len(notice.text), 0)
+                else:
+                    found = notice.near(flat, max(begin - notice.edits, done), min(begin + len(notice.text) + notice.edits, len(flat)))
+                if found:
+                    done = found[1]
+                    start = found[0] + (flat[found[0]] == " ")
+                    end = done - (flat[done - 1] == " ")
+                    out.append({"label": notice.label, "notice": notice.text, "edits": found[2], "first_word": bisect_right(starts, start) - 1, "last_word": bisect_right(starts, end - 1) - 1})
         return out
 
 
