@@ -48,10 +48,40 @@ def test_mix_meets_targets(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_rates_differ_within_a_source_and_keep_the_length_of_the_corpus(spark):
+    rnd = random.Random(3)
+    rows = [(i, s, "w " * (n * rnd.choice([1, 2, 3]))) for i, (s, n) in enumerate([("a", 10)] * 600 + [("b", 200)] * 120 + [("c", 60)] * 300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.source, set()).add(round(r.rate, 6))
+    assert max(map(len, by.values())) == 3 and all(0 <= x <= 3 for v in by.values() for x in v)
+    mean = lambda w: sum(w(r) * r["size"] * math.log(r["size"]) for r in got) / sum(w(r) * r["size"] for r in got)
+    flat = lambda r: r.target / r.source_size
+    assert abs(mean(lambda r: r.rate) - mean(lambda r: 1)) < 0.8 * abs(mean(flat) - mean(lambda r: 1))
+    for s in by:
+        assert math.isclose(sum(r.rate * r["size"] for r in got if r.source == s), next(r.target for r in got if r.source == s), rel_tol=1e-6)
+
+
+def test_balance_equals_a_dense_newton_solution(spark):
+    cells = spark.createDataFrame([("a", 5, 40, -1.0), ("a", 50, 4, 0.5), ("b", 20, 10, 0.0), ("b", 90, 5, 1.2), (None, 7, 9, -0.4)], "source string, size long, docs long, length double")
+    sources = spark.createDataFrame([("a", 400, 500.0), ("b", 650, 300.0), (None, 63, 189.0)], "source string, source_size long, target double")
+    found, tilt = mixing.balance(sources, cells)
+    lam = {r.source: r.lam for r in found.collect()}
+    assert lam[None] == math.inf
+    sums, moment = {}, 0.0
+    for r in cells.collect():
+        rate = 3.0 if r.source is None else min(3.0, math.exp(lam[r.source] + tilt * r.length))
+        sums[r.source] = sums.get(r.source, 0.0) + rate * r["size"] * r.docs
+        moment += rate * r["size"] * r.docs * r.length
+    assert math.isclose(sums["a"], 500, rel_tol=1e-6) and math.isclose(sums["b"], 300, rel_tol=1e-6)
+    assert abs(moment + mixing.RIDGE * (400 + 650 + 63) * tilt) < 1e-3  # the dual's gradient
+
+
 def test_mixed_documents_keep_their_columns(spark):
-    d = spark.createDataFrame([(r[0], r[1], r[2], i) for i, r in enumerate(rows_of(2, 120))], "doc_id long, source string, text string, taken int")
+    d = spark.createDataFrame([(r[0], r[1], r[2], i, i, i) for i, r in enumerate(rows_of(2, 120))], "doc_id long, source string, text string, taken int, its_size int, _n int")
     out = mixing.mixed_documents(d)
-    assert out.columns == ["doc_id", "source", "text", "copies", "taken"] and out.where("copies < 1 or copies > 3").count() == 0
+    assert out.columns == ["doc_id", "source", "text", "its_size", "_n", "copies", "taken"] and out.where("copies < 1 or copies > 3").count() == 0
     assert out.agg(F.sum("taken")).first()[0] == mixing.mix(d).agg(F.sum("taken")).first()[0]
     assert mixing.mix(d.limit(0)).count() == 0 and mixing.mixed_documents(d.limit(0)).count() == 0
 
@@ -62,7 +92,7 @@ def test_linear_conversations_read_back(spark):
     rows = [(1, i, r, t) for i, (r, t) in enumerate(zip(["system", "user", "assistant", "assistant", "user", "assistant"], texts, strict=True))]
     rows += [(2, 5, "user", "only"), (3, 1, None, None), (3, 1, None, None), (None, 0, "user", "lost"), (4, None, "assistant", "z"), (4, 0, "user", "y")]
     got = {r.conv_id: r for r in chat.chat_digest(chat.linear(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
-    turns = {1: [(r, t or "") for _, _, r, t in rows[:6]], 2: [("user", "only")], 3: [("", ""), ("", "")], 4: [("user", "y"), ("assistant", "z")]}
+    turns = {None: [("user", "lost")], 1: [(r, t or "") for _, _, r, t in rows[:6]], 2: [("user", "only")], 3: [("", ""), ("", "")], 4: [("user", "y"), ("assistant", "z")]}
     assert set(got) == set(turns)
     for k, want in turns.items():
         said = "".join(f"{r}\n{t}\n" for r, t in want)
@@ -93,5 +123,12 @@ def test_trees_give_all_root_to_leaf_paths_ranked(spark):
     assert [(r.conv, r.leaf) for r in chat.best_paths(m, 1).where("conv <> 9").collect()] == [(7, 3)]
 
 
+def test_a_comb_is_not_expanded(spark):
+    n = 600
+    rows = [(1, i, i - 1 if i else None, "user", f"t{i}", 0.0) for i in range(n)] + [(1, n + i, i, "assistant", "leaf", float(i == 7)) for i in range(n)]
+    best = chat.format_paths(spark.createDataFrame(rows, "conv long, id long, parent long, role string, text string, score double"), 1).collect()
+    assert [(r.leaf, r.n_turns) for r in best] == [(n + 7, 9)]
+
+
 def chat_turns(spark, formatted):
     return spark.createDataFrame([(formatted,)], "f string").select(chat.read_back(F.col("f")).alias("t")).first().t
