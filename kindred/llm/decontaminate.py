@@ -5,8 +5,9 @@ letters fold to lower case and punctuation goes.  A window that has names also
 counts with its names as plain words, since capitals do not always mark them.
 Windows of a template are hashed and hash-joined with the windows of the benchmark items.  A document
 leaks an item if enough of the item's windows meet at one alignment and the
-slots agree: each value of the item stands for one value of the document, which
-also holds for a question with other numbers and names.  Windows of mostly
+slots agree: each value of the item stands for one value of the document, and
+each of these for one of the item, which also holds for a question with other
+numbers and names.  Windows of mostly
 placeholders say nothing as templates: they count by their plain words.
 """
 
@@ -24,6 +25,8 @@ from .common import durable
 
 #: Words of a template window; an item of fewer words is one window.
 WIDTH = 8
+#: Words of an item, at least, that a document leaks by holding it; of a shorter one it must consist.
+TELLING = 4
 #: Percent of an item's telling windows, or of all its windows, that a leak has.
 COVERAGE = 50
 #: Benchmark windows that are sent to all tasks as a first filter (8 bytes each), at most.
@@ -176,6 +179,8 @@ def _doc_windows(widths: list[tuple[int, int]], known: np.ndarray | None):
                     got = t.windows(width, form)
                     owner = np.searchsorted(t.bounds, np.arange(len(got)), side="right") - 1
                     ok = (got != 0) & (np.arange(len(got)) + width <= t.bounds[owner + 1])
+                    if width < TELLING:
+                        ok &= np.diff(t.bounds)[owner] == width
                     if form == _VERBATIM:
                         ok &= t.verbatim(width)
                     if known is not None:
@@ -195,7 +200,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAGE) -> Da
     document has at one alignment (give or take some words) with slots that
     agree; or, where it is greater, the share of all its windows, of which the
     others (mostly placeholders) must have the same words and numbers.  So an
-    item of placeholders only is found by its verbatim copies.  Null or empty
+    item of placeholders only is found by its verbatim copies.  An item of
+    fewer than TELLING words is leaked by documents that are nothing else.  A
+    place of the item that meets the document twice counts once.  Null or empty
     texts and rows with a null id leak nothing; repeated rows count once; an
     empty table on either side gives an empty result.
     """
@@ -212,20 +219,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAGE) -> Da
     whole = ["doc_id", "item_id", "item_windows", "telling_windows"]
     # Equal slots first, so that a verbatim copy agrees with itself.
     hits = hits.where(F.size("slots") == F.size("item_slots")).groupBy(*whole, "place", "item_pos").agg(F.max("telling").alias("telling"), F.min(F.struct(F.col("slots") != F.col("item_slots"), "pos", "slots", "item_slots")).alias("x"))
-    hits = hits.select(*whole, "place", "item_pos", "telling", "x.slots", "x.item_slots")
-    # Each value of the item stands for the value that it most often meets.
-    key = ["doc_id", "item_id", "place", "theirs"]
-    met = hits.select("doc_id", "item_id", "place", F.explode(F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours"))).alias("z")).select("doc_id", "item_id", "place", F.col("z.theirs").alias("theirs"), F.col("z.ours").alias("ours"))
-    met = met.groupBy(*key, "ours").count()
-    best = Window.partitionBy(*key).orderBy(F.desc("count"), "ours")
-    odd = met.withColumn("r", F.row_number().over(best)).where("r > 1").select("doc_id", "item_id", "place", F.concat_ws("\x1f", "theirs", "ours").alias("bad"))
-    odd = odd.groupBy("doc_id", "item_id", "place").agg(F.collect_set("bad").alias("bad"))
+    hits = durable(hits.select(*whole, "place", "item_pos", "telling", "x.slots", "x.item_slots"))  # or texts would be read again below
+    # Each value of the item stands for the value that it most often meets, and the other way round.
+    at = ["doc_id", "item_id", "place"]
+    met = hits.select(*at, F.explode(F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours"))).alias("z")).select(*at, "z.theirs", "z.ours").groupBy(*at, "theirs", "ours").count()
+    best = lambda a, b: Window.partitionBy(*at, a).orderBy(F.desc("count"), F.col("theirs") != F.col("ours"), b)
+    odd = met.withColumn("r", F.row_number().over(best("theirs", "ours"))).withColumn("q", F.row_number().over(best("ours", "theirs"))).where("r > 1 or q > 1").select(*at, F.concat_ws("\x1f", "theirs", "ours").alias("bad"))
+    odd = odd.groupBy(*at).agg(F.collect_set("bad").alias("bad"))
     said = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.concat_ws("\x1f", z["item_slots"], z["slots"]))
-    sound = hits.join(odd, ["doc_id", "item_id", "place"], "left").where(F.col("bad").isNull() | ~F.arrays_overlap("bad", said))
+    sound = hits.join(odd, at, "left").where(F.col("bad").isNull() | ~F.arrays_overlap("bad", said))
+    # Two neighbouring places are looked at together.
+    sound = sound.select(*whole, "telling", "item_pos", F.explode(F.array(F.col("place"), F.col("place") - 1)).alias("place"))
     by_place = sound.groupBy(*whole, "place").agg(F.count_distinct(F.when(F.col("telling"), F.col("item_pos"))).alias("told"), F.count_distinct("item_pos").alias("n"))
-    pair = Window.partitionBy("doc_id", "item_id").orderBy("place")
-    beside = lambda c: F.when(F.lead("place").over(pair) == F.col("place") + 1, F.lead(c).over(pair)).otherwise(0)
-    by_place = by_place.select(*whole, F.least(F.col("told") + beside("told"), "telling_windows").alias("told"), F.least(F.col("n") + beside("n"), "item_windows").alias("n"))
     out = by_place.groupBy(*whole).agg(F.max("told").alias("told"), F.max("n").alias("n"))
     share = lambda n, of: F.struct(F.try_divide(n, of).alias("coverage"), F.col(n).alias("windows"), F.col(of).alias("item_windows"))
     out = out.select("doc_id", "item_id", F.greatest(share("told", "telling_windows"), share("n", "item_windows")).alias("x"))
@@ -233,5 +238,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAGE) -> Da
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAGE) -> DataFrame:
-    """`docs` without the documents that leak an item; rows with a null doc_id stay."""
+    """`docs`, with all their columns, without the documents that leak an item.
+
+    Rows with a null doc_id and null or empty texts stay; of rows with one
+    doc_id all go if one leaks; an empty table on either side changes nothing.
+    """
     return docs.join(leaks(docs, benchmark, coverage).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
