@@ -17,7 +17,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, held_out_remainder
+from .common import WORD, durable, fresh_name
+from .toxicity import training_sample
 
 #: Labelled documents of each label from which rules are learned, at most.
 SAMPLE = 2_500
@@ -76,19 +77,21 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
     A null text is empty; a text without words has counts 0 and statistics 0.
     """
-    text = F.col("_t")
+    names = docs.columns
+    its_text, its_words, its_lines = (fresh_name(x, names) for x in ("its_text", "its_words", "its_lines"))
+    text = F.col(its_text)
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
-    out = docs.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = docs.withColumn(its_text, F.coalesce(F.col("text").cast("string"), F.lit("")))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
     in_words = lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r"), F.size(F.array_distinct(w)).alias("d"))
     in_lines = lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("d"))
-    out = out.withColumns({"_w": _let(words, in_words), "_l": _let(lines, in_lines)})
+    out = out.withColumns({its_words: _let(words, in_words), its_lines: _let(lines, in_lines)})
     out = out.withColumns({
-        "n_words": F.col("_w.n"),
+        "n_words": F.col(f"{its_words}.n"),
         "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": _stripped(text, "#*$%&|<>").cast("long"),
-        "n_dup_lines": F.col("_l.n") - F.col("_l.d"),
-        "n_repeat_words": F.col("_w.r"),
+        "n_dup_lines": F.col(f"{its_lines}.n") - F.col(f"{its_lines}.d"),
+        "n_repeat_words": F.col(f"{its_words}.r"),
     })
     chars, count = F.greatest(F.col("word_chars"), F.lit(1)), F.greatest(F.col("n_words"), F.lit(1))
     marks = lambda c: _stripped(text, c)
@@ -100,13 +103,13 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         "letters": marks("abcdefghijklmnopqrstuvwxyz") / chars,
         "pipes": marks("|") / count,
         "bangs": marks("!?") / count,
-        "dup_lines": F.col("n_dup_lines") / F.greatest(F.col("_l.n"), F.lit(1)),
+        "dup_lines": F.col("n_dup_lines") / F.greatest(F.col(f"{its_lines}.n"), F.lit(1)),
         "repeated": F.col("n_repeat_words") / count,
-        "distinct": F.col("_w.d") / count,
-        "line_words": F.least(F.col("n_words") / F.greatest(F.col("_l.n"), F.lit(1)), F.lit(1000.0)),
+        "distinct": F.col(f"{its_words}.d") / count,
+        "line_words": F.least(F.col("n_words") / F.greatest(F.col(f"{its_lines}.n"), F.lit(1)), F.lit(1000.0)),
         "stops": marks(".") / count,
     })
-    return out.drop("_t", "_w", "_l")
+    return out.drop(its_text, its_words, its_lines)
 
 
 @dataclass
@@ -216,10 +219,8 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 4, out: int = 2) ->
 
     Null and other labels are passed over; a document with several labels has the least.
     """
-    marks = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    marks = marks.where(held_out_remainder("doc_id", modulus) != out).groupBy("doc_id").agg(F.min("label").alias("label"))
-    few = [marks.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for v in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(few[0].union(few[1])), "doc_id")
+    # Kept before it is measured: else the test of base_failed, which needs texts only, would move below the join to all documents.
+    sample = durable(training_sample(docs, labels, "quality", modulus, out, SAMPLE, F.min))
     rows = with_statistics(sample).withColumn("failed", base_failed()).where("not failed").select("label", F.xxhash64("doc_id").alias("order"), *STATISTICS)
     return learn_rules([r.asDict() for r in rows.collect()])
 
