@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
@@ -44,6 +44,8 @@ SPREAD = 1024
 BUCKET = 200_000
 #: Texts that are sent to Python at once.
 BATCH = 1000
+#: Members of one block of a group that is opened.
+BLOCKED = 512
 #: Pairs that one copy of a center's text serves.
 SERVED = 64
 
@@ -279,6 +281,45 @@ def _promising(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return kept.select(*pairs.columns, "left")
 
 
+def _opened(percent: int):
+    """The pairs that sizes and bitmaps allow, from rows by block of a group, its members before the classes that ask."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+        for pdf in batches:
+            out = []
+            for grp, part, asks, key, n, bits in zip(*(pdf[c] for c in ("asked", "part", "asks", "id", "n", "bits")), strict=True):
+                if (grp, part) != at:
+                    at, held = (grp, part), []
+                if not asks:
+                    held.append((key, n, bits))
+                    continue
+                for other, m, theirs in held:
+                    both = n + m
+                    if 100 * min(n, m) >= percent * max(n, m) and least_difference(bits, theirs) <= both - 2 * -(-percent * both // (100 + percent)):
+                        out.append((key, other))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _inside(opened: DataFrame, groups: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the members b of the opened groups (a, asked) that sizes and bitmaps allow.
+
+    A group is cut into blocks of BLOCKED members or so, and the classes that
+    ask pass through each; no pair becomes a row before its bitmaps allow it.
+    """
+    c = F.col
+    asked = opened.select("asked").distinct()
+    held = groups.select(c("label").alias("asked"), "id").join(asked, "asked").union(asked.select("asked", c("asked").alias("id"))).distinct()
+    blocks = held.groupBy("asked").agg(F.ceil(F.count(F.lit(1)) / BLOCKED).cast("int").alias("blocks"))
+    facts = members.select("id", c("n").cast("int").alias("n"), "bits")
+    inside = held.join(blocks, "asked").join(facts, "id").select("asked", F.pmod(F.xxhash64("id"), c("blocks")).cast("int").alias("part"), F.lit(0).alias("asks"), "id", "n", "bits")
+    asking = opened.withColumnRenamed("a", "id").join(blocks, "asked").join(facts, "id").select("asked", F.explode(F.sequence(F.lit(0), c("blocks") - 1)).alias("part"), F.lit(1).alias("asks"), "id", "n", "bits")
+    met = inside.union(asking).repartition("asked", "part").sortWithinPartitions("asked", "part", "asks")
+    return met.mapInPandas(_opened(percent), "a long, b long").where("a <> b").distinct()
+
+
 def _fits(n: str, m: str, percent: int) -> Column:
     return F.least(F.col(n), F.col(m)).cast("long") * 100 >= F.greatest(F.col(n), F.col(m)).cast("long") * percent
 
@@ -350,7 +391,7 @@ def _classes_of(docs: DataFrame, percent: int, tables: Tables) -> tuple[DataFram
     share = t / (1 + t)
     kept = tables.keep(matrix.join(info, "k1").select("token", "id", "n", "place", "grp", "solo"))
     placed = kept.withColumn("room", (F.ceil(F.col("n") * (1 - share)) - F.col("place") + 2).cast("int"))
-    union = placed.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"), F.max_by("id", "room").alias("one"), F.first("solo").alias("solo"), F.count(F.lit(1)).alias("held"))
+    union = placed.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"), F.max_by("id", "room").alias("one"), F.first("solo").alias("solo"))
     union = tables.keep(union)
     other = union.select("token", *(F.col(c).alias(f"{c}_o") for c in ("grp", "least", "most", "room", "one", "solo")))
     c = F.col
@@ -380,27 +421,17 @@ def _classes_of(docs: DataFrame, percent: int, tables: Tables) -> tuple[DataFram
     if rest.limit(1).count():
         # Every class of one group against the union of the other.
         asking = placed.join(rest, c("grp") == c("asks")).select("token", c("id").alias("a"), "n", "room", "asked")
-        common = asking.join(union.select("token", c("grp").alias("asked"), c("least").alias("least_o"), c("most").alias("most_o"), c("room").alias("room_o"), c("one").alias("b"), "held"), ["token", "asked"])
-        common = tables.keep(common)
+        common = asking.join(union.select("token", c("grp").alias("asked"), c("least").alias("least_o"), c("most").alias("most_o"), c("room").alias("room_o"), c("one").alias("b")), ["token", "asked"])
         able = (c("room") >= share * F.greatest(c("least_o"), t * c("n"))) & (c("room_o") >= share * c("n"))
         bound = common.groupBy("a", "n", "asked", "b").agg(F.count(F.lit(1)).alias("c"), F.max(able).alias("able"), F.min("least_o").alias("least_o"), F.max("most_o").alias("most_o"))
         bound = bound.groupBy("a", "n", "asked").agg(F.sum("c").alias("c"), F.max("able").alias("able"), F.min("least_o").alias("least_o"), F.max("most_o").alias("most_o"), F.max_by("b", F.struct("c", "b")).alias("b"))
-        # So many of these shingles a member has that can link, the fewest where sizes differ most.
-        needs = lambda m: share * (c("n") + m) - t * F.greatest(c("n"), m)
-        need = F.greatest(F.lit(1), F.ceil(F.least(needs(F.greatest(c("least_o"), t * c("n"))), needs(F.least(c("most_o"), c("n") / t))) - 1))
-        opened = bound.where(c("able") & _reach(percent, c("c"), c("n"), c("n"), c("least_o"), c("most_o"))).select("a", "asked", "b", (c("c") - need + 1).alias("spread"))
-        opened = tables.keep(opened)
+        opened = tables.keep(bound.where(c("able") & _reach(percent, c("c"), c("n"), c("n"), c("least_o"), c("most_o"))).select("a", "asked", "b"))
         # Again the member that is met most often comes first, and the others only where it did not settle it.
         tried = tables.keep(_promising(opened.select("a", "b").distinct(), members, percent).select("a", "b").distinct())
         links = links.union(_verified(tried, docs, percent, tables))
         groups = components(links, tables=tables)
-        opened = apart(opened.select("a", "asked", "spread"), "a", "asked")
-        # Of n shingles of which k are shared, one is among any n - k + 1: those that the fewest members have are joined.
-        rare = Window.partitionBy("a", "asked").orderBy("held", "token")
-        asking = common.select("token", "a", "n", "asked", "held").join(opened, ["a", "asked"]).withColumn("nth", F.row_number().over(rare)).where("nth <= spread")
-        inside = placed.select("token", c("id").alias("b"), c("n").alias("m"), c("grp").alias("asked"))
-        pairs = asking.select("token", "asked", "a", "n").join(inside, ["token", "asked"]).where(_fits("n", "m", percent)).select("a", "b").distinct()
-        pairs = tables.keep(_promising(pairs.join(tried, ["a", "b"], "left_anti"), members, percent).select("a", "b").distinct())
+        opened = tables.keep(apart(opened.select("a", "asked"), "a", "asked"))
+        pairs = tables.keep(_inside(opened, formed, members, percent).join(tried, ["a", "b"], "left_anti"))
         if pairs.limit(1).count():
             groups = components(links.union(_verified(pairs, docs, percent, tables)), tables=tables)
     tables.drop_all_but(sig, classes, groups)
