@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.operators import blocks
+
+#: Layers of the suppliers' tokens.
+LAYERS = ("code", "component", "resource", "metadata", "library")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,6 +64,39 @@ sh AS (
 )
 
 
+def _supplier_lines(spark: SparkSession, sf_dir: str, layers: tuple[str, ...] = LAYERS) -> DataFrame:
+    """(app_id, a column for each layer) of the lines whose part is known; a layer's values stand for its tokens."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", F.concat("l_returnflag", "l_linestatus").alias("flags"))
+    part = {"component": "p_brand", "resource": "p_type", "library": "p_size"}
+    named = {"code": "l_partkey", "metadata": "flags"} | part
+    wanted = [part[x] for x in layers if x in part]
+    parts = table(spark, sf_dir, "part").select("p_partkey", *wanted)
+    met = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "inner" if wanted else "left_semi")
+    return met.select(F.col("l_suppkey").alias("app_id"), *(F.col(named[x]).alias(x) for x in layers))
+
+
+def supplier_sets(spark: SparkSession, sf_dir: str, layers: tuple[str, ...] = LAYERS) -> DataFrame:
+    """(app_id, the set of each layer): supplier_tokens with one row for each supplier, tokens without their layer's prefix."""
+    return _supplier_lines(spark, sf_dir, layers).groupBy("app_id").agg(*(blocks.set_of(F.col(x), F.col(x).isNull()).alias(x) for x in layers))
+
+
+def supplier_layers(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The layers that any supplier has: every line with a part has them all, so that some lines tell, or else all."""
+    lines, parts = table(spark, sf_dir, "lineitem").select("l_partkey"), table(spark, sf_dir, "part").select("p_partkey")
+    met = lambda some: bool(some.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi").head(1))
+    return list(LAYERS) if met(lines.limit(100)) or met(lines) else []
+
+
+def supplier_members(spark: SparkSession, sf_dir: str, **more: Column) -> DataFrame:
+    """(app_id, grp, more): suppliers by nation; supplier_pairs are the pairs inside."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("app_id"), F.col("s_nationkey").alias("grp"), *(v.alias(k) for k, v in more.items()))
+
+
+def supplier_counts(spark: SparkSession, sf_dir: str, layers: tuple[str, ...] = LAYERS, **carry: Column) -> DataFrame:
+    """blocks.group_counts of the suppliers of one nation."""
+    return blocks.group_counts(supplier_sets(spark, sf_dir, layers), supplier_members(spark, sf_dir, **carry), list(layers), carry=tuple(carry))
+
+
 def supplier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(a, b): suppliers of one nation, smaller key first."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
