@@ -26,6 +26,13 @@ def from_layers(layers: Column, stage: str = "screening") -> Column:
     return F.transform(named, lambda e: record(stage, "layer_score", e["value"], F.trim(e["key"])))
 
 
+def summarise(records: Column) -> Column:
+    """(total, mean_magnitude, dominant) of an array of records; the dominant ref has the greatest magnitude, then the first letter, then place in the array."""
+    best = F.array_max(F.transform(records, lambda e, i: F.struct(e["magnitude"].alias("m"), (-F.ascii(e["ref"])).alias("c"), (-i).alias("i"), e["ref"].alias("ref"))))
+    mean = F.aggregate(records, F.lit(0.0), lambda acc, e: acc + e["magnitude"]) / F.size(records)
+    return F.struct(F.size(records).cast("long").alias("total"), F.round(mean, 6).alias("mean_magnitude"), best["ref"].alias("dominant"))
+
+
 def from_pair(views: Column, layer_scores: Column, full: Column, reduced: Column, signature_score: Column, failed: Column) -> Column:
     """Evidence of a verified pair: a record for each view, and one for the signature.
 

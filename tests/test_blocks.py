@@ -31,6 +31,7 @@ def test_group_counts_equal_plain_sets(spark, block):
 
 PAIRED = [
     "allowed_pairs",
+    "evidence_summary",
 ]
 
 
