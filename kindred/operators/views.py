@@ -87,6 +87,13 @@ def compare_methods(methods: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select("a", "b", F.when(none_a | none_b, 0.0).otherwise(F.round(F.coalesce("total", F.lit(0.0)) / F.greatest("n_a", "n_b"), 6)).alias("score"), F.when(none_a & none_b, "both_empty").when(none_a | none_b, "one_empty").otherwise("fuzzy_ok").alias("status"))
 
 
+def methods_of_counts(shared: Column, n_a: Column, n_b: Column) -> tuple[Column, Column]:
+    """(score, status) of compare_methods from the numbers of methods that are the same and of each side's, where fingerprints are equal or not."""
+    none_a, none_b = n_a == 0, n_b == 0
+    score = F.when(none_a | none_b, 0.0).otherwise(F.round(shared / F.greatest(n_a, n_b), 6))
+    return score.alias("score"), F.when(none_a & none_b, "both_empty").when(none_a | none_b, "one_empty").otherwise("fuzzy_ok").alias("status")
+
+
 def expand_filters(components: DataFrame) -> DataFrame:
     """(app_id, component, action, category, data, priority_bucket): every combination of each intent filter.
 
@@ -218,7 +225,20 @@ def compare_resource_subsets(counts: DataFrame, pairs: DataFrame, icons: DataFra
     one = [F.max(F.when(F.col("subset") == s, F.col("shared") / either)).alias(name) for s, name in RESOURCE_SUBSETS.items()]
     wide = known.groupBy("a", "b").agg(*one, F.sum("shared").alias("both"), F.sum(either).alias("either"))
     icon = lambda x: icons.select(F.col("app_id").alias(x), F.col("icon").alias(f"icon_{x}"))
-    rows = pairs.select("a", "b").join(wide, ["a", "b"], "left").join(icon("a"), "a", "left").join(icon("b"), "b", "left").withColumn("icon", icon_similarity(F.col("icon_a"), F.col("icon_b")))
+    rows = pairs.select("a", "b").join(wide, ["a", "b"], "left").join(icon("a"), "a", "left").join(icon("b"), "b", "left")
+    return _subset_rows(rows)
+
+
+def resource_subsets_of_counts(counts: DataFrame, subsets: list[str]) -> DataFrame:
+    """compare_resource_subsets of blocks.group_counts that carries icon, with the subset of each of its layers."""
+    each = {RESOURCE_SUBSETS[s]: (F.col(f"shared_{i}"), F.col(f"n_a_{i}") + F.col(f"n_b_{i}") - F.col(f"shared_{i}")) for i, s in enumerate(subsets)}
+    total = lambda x: F.nullif(sum((v[x] for v in each.values()), F.lit(0)), F.lit(0))
+    return _subset_rows(counts.select("a", "b", "icon_a", "icon_b", *(F.when(e > 0, s / e).alias(x) for x, (s, e) in each.items()), total(0).alias("both"), total(1).alias("either")))
+
+
+def _subset_rows(rows: DataFrame) -> DataFrame:
+    """Combined scores and status of rows with a score for each subset, both, either, icon_a and icon_b."""
+    rows = rows.withColumn("icon", icon_similarity(F.col("icon_a"), F.col("icon_b")))
     parts = F.filter(F.array(*RESOURCE_SUBSETS.values(), "icon"), lambda x: x.isNotNull())
     total = F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)
     status = F.when(F.size(parts) == 0, "both_empty").when(F.size(parts) == len(RESOURCE_SUBSETS) + 1, "ok").otherwise("partial")

@@ -33,6 +33,7 @@ PAIRED = [
     "allowed_pairs",
     "evidence_summary",
     "layer_ablation",
+    "method_comparison",
 ]
 
 
