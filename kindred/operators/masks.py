@@ -69,6 +69,12 @@ def reduced_score(tokens: DataFrame, pairs: DataFrame, library: DataFrame | None
     return both.select("a", "b", score.alias("library_reduced_score"))
 
 
+def reduced_of_counts(layers: list[str]) -> Column:
+    """reduced_score of a row of blocks.group_counts."""
+    total = lambda c: sum((F.col(f"{c}_{i}") for i, x in enumerate(layers) if x != "library"), F.lit(0))
+    return similarity.from_counts("jaccard", total("shared"), total("n_a"), total("n_b"))
+
+
 def gate_decision(packers: Column, obfuscators: Column, manipulators: Column) -> Column:
     """(gate_status, library_detector) from classifier findings, packers first."""
     some = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0

@@ -34,6 +34,7 @@ PAIRED = [
     "evidence_summary",
     "layer_ablation",
     "method_comparison",
+    "pairwise_decisions",
 ]
 
 
