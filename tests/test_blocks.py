@@ -37,6 +37,7 @@ PAIRED = [
     "pairwise_decisions",
     "set_difference",
     "view_channels",
+    "weight_grid_search",
 ]
 
 
