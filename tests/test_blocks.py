@@ -40,6 +40,7 @@ PAIRED = [
     "weight_grid_search",
     "weighted_layer_score",
     "evidence_taxonomy",
+    "layer_scores",
 ]
 
 
