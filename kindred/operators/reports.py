@@ -93,7 +93,11 @@ def detector_quality(predicted: DataFrame, truth: DataFrame) -> DataFrame:
 
 def replay_deltas(before: DataFrame, after: DataFrame, key: list[str], value: str, segment: str) -> DataFrame:
     """(segment, n, mean_before, mean_after, mean_delta, least_delta, greatest_delta) of two scorings of the same pairs."""
-    both = before.select(*key, segment, F.col(value).alias("x")).join(after.select(*key, F.col(value).alias("y")), key)
+    return delta_summary(before.select(*key, segment, F.col(value).alias("x")).join(after.select(*key, F.col(value).alias("y")), key), segment)
+
+
+def delta_summary(both: DataFrame, segment: str) -> DataFrame:
+    """replay_deltas of rows that hold both scores, x before and y after."""
     d = F.col("y") - F.col("x")
     return both.groupBy(segment).agg(F.count(F.lit(1)).alias("n"), *(F.round(f(c), 6).alias(n) for n, f, c in (("mean_before", F.avg, F.col("x")), ("mean_after", F.avg, F.col("y")), ("mean_delta", F.avg, d), ("least_delta", F.min, d), ("greatest_delta", F.max, d))))
 

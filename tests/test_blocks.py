@@ -41,6 +41,7 @@ PAIRED = [
     "weighted_layer_score",
     "evidence_taxonomy",
     "layer_scores",
+    "replay_deltas",
 ]
 
 
