@@ -43,6 +43,7 @@ PAIRED = [
     "layer_scores",
     "replay_deltas",
     "resource_subset_scores",
+    "shortcut_pairs",
 ]
 
 
