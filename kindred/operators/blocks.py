@@ -33,11 +33,17 @@ def set_of(token: Column, null: Column) -> Column:
     return F.when(F.coalesce(F.bool_or(null), F.lit(False)), F.array_append(found, F.lit(None))).otherwise(found)
 
 
-def _postings(column: pa.ChunkedArray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sizes, rows, codes): the sizes of all lists, and a row and a code for each token that is not null."""
+def _joined(column: pa.ChunkedArray) -> pa.Array:
+    """The chunks as one."""
     lists = column.combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], column.type)
+    return lists
+
+
+def _postings(column: pa.ChunkedArray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, rows, codes): the sizes of all lists, and a row and a code for each token that is not null."""
+    lists = _joined(column)
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     codes = pc.fill_null(lists.flatten().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
     rows = np.repeat(np.arange(n), sizes)
@@ -100,6 +106,35 @@ class _Shared:
         return out
 
 
+def _tiles(sets: DataFrame, members: DataFrame, layers: list[str], block: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(grp, p, q, _block, app_id, carry, t_0, t_1, ...): each member with its sets, for each pair p <= q of blocks of its group that has its own."""
+    known = members.select("app_id", "grp", *carry).where("app_id is not null and grp is not null")
+    size = known.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    placed = known.join(size, "grp").withColumn("_block", F.pmod(F.xxhash64("app_id"), F.col("_blocks")).cast("int"))
+    rows = placed.join(sets.select("app_id", *(F.col(x).alias(f"t_{i}") for i, x in enumerate(layers))), "app_id", "left")
+    tile = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least(F.col("_block"), j).alias("p"), F.greatest(F.col("_block"), j).alias("q")))
+    return rows.withColumn("_tile", F.explode(tile)).select("grp", F.col("_tile.p").alias("p"), F.col("_tile.q").alias("q"), "_block", "app_id", *carry, *(f"t_{i}" for i in range(len(layers))))
+
+
+def _sides(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, pa.Array, np.ndarray, np.ndarray]:
+    """A tile's rows by app_id, their ids, and the rows of either block."""
+    table = pa.Table.from_batches(list(batches)).sort_by("app_id")
+    side = table["_block"].to_numpy()
+    return table, table["app_id"].combine_chunks(), np.flatnonzero(side == key[1].as_py()), np.flatnonzero(side == key[2].as_py())
+
+
+def _pairs(ids: pa.Array, left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, last, x, y, a, b) for ROWS of the left block at a time: cells x, y of the wanted pairs and their rows a, b, the smaller id first."""
+    rank = pc.rank(ids, tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
+    for first in range(0, len(left), ROWS):
+        mine = left[first : first + ROWS]
+        # Within a block each pair stands twice, between blocks once, in either order.
+        wanted = rank[mine][:, None] < rank[right][None, :] if same else rank[mine][:, None] != rank[right][None, :]
+        x, y = np.nonzero(wanted)
+        i, j = mine[x], right[y]
+        yield first, first + len(mine), x, y, np.minimum(i, j), np.maximum(i, j)
+
+
 def group_counts(sets: DataFrame, members: DataFrame, layers: list[str], block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, and for each layer i shared_i, n_a_i, n_b_i): every pair a < b of members of one group.
 
@@ -107,44 +142,56 @@ def group_counts(sets: DataFrame, members: DataFrame, layers: list[str], block:
     grp) and the columns to `carry`, which come out with _a and _b.  Members without a row in `sets` have empty sets.  Null ids and null
     groups pair with nothing; null tokens count for the size only.
     """
-    known = members.select("app_id", "grp", *carry).where("app_id is not null and grp is not null")
-    size = known.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
-    placed = known.join(size, "grp").withColumn("_block", F.pmod(F.xxhash64("app_id"), F.col("_blocks")).cast("int"))
-    rows = placed.join(sets.select("app_id", *(F.col(x).alias(f"t_{i}") for i, x in enumerate(layers))), "app_id", "left")
-    tile = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least(F.col("_block"), j).alias("p"), F.greatest(F.col("_block"), j).alias("q")))
-    tiles = rows.withColumn("_tile", F.explode(tile)).select("grp", F.col("_tile.p").alias("p"), F.col("_tile.q").alias("q"), "_block", "app_id", *carry, *(f"t_{i}" for i in range(len(layers))))
     names = [f"{c}_{i}" for i in range(len(layers)) for c in ("shared", "n_a", "n_b")]
     carried = [f"{c}_{x}" for c in carry for x in "ab"]
     key = members.schema["app_id"].dataType.simpleString()
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).sort_by("app_id")
-        p, q = key[1].as_py(), key[2].as_py()
-        ids = table["app_id"].combine_chunks()
-        rank = pc.rank(ids, tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
-        side = table["_block"].to_numpy()
-        left, right = np.flatnonzero(side == p), np.flatnonzero(side == q)
+        table, ids, left, right = _sides(key, batches)
         if not len(left) or not len(right):
             return
         every = []
         for i in range(len(names) // 3):
-            sizes, at, codes = _postings(table[f"t_{i}"], len(side))
+            sizes, at, codes = _postings(table[f"t_{i}"], len(table))
             every.append((sizes, _Shared(at, codes, left, right)))
-        for first in range(0, len(left), ROWS):
-            mine = left[first : first + ROWS]
-            # Within a block each pair stands twice, between blocks once, in either order.
-            wanted = rank[mine][:, None] < rank[right][None, :] if p == q else rank[mine][:, None] != rank[right][None, :]
-            x, y = np.nonzero(wanted)
-            i, j = mine[x], right[y]
-            a, b = np.minimum(i, j), np.maximum(i, j)
+        for first, last, x, y, a, b in _pairs(ids, left, right, key[1] == key[2]):
             columns = [ids.take(pa.array(a)), ids.take(pa.array(b))]
             for sizes, shared in every:
-                columns += [pa.array(v.astype(np.int32)) for v in (shared.part(first, first + len(mine))[x, y], sizes[a], sizes[b])]
+                columns += [pa.array(v.astype(np.int32)) for v in (shared.part(first, last)[x, y], sizes[a], sizes[b])]
             columns += [table[c].combine_chunks().take(pa.array(v)) for c in carry for v in (a, b)]
             yield pa.RecordBatch.from_arrays(columns, ["a", "b", *names, *carried])
 
     schema = StructType.fromDDL(", ".join([f"a {key}, b {key}", *(f"{n} int" for n in names), *(f"{c} {members.schema[c[:-2]].dataType.simpleString()}" for c in carried)]))
-    return tiles.groupBy("grp", "p", "q").applyInArrow(run, schema)
+    return _tiles(sets, members, layers, block, carry).groupBy("grp", "p", "q").applyInArrow(run, schema)
+
+
+def group_weights(sets: DataFrame, members: DataFrame, layers: list[str], block: int = BLOCK) -> DataFrame:
+    """(a, b, both, x, y): the weight of the tokens that a pair shares and of each side's, over all layers; every pair of one group.
+
+    `sets` has (app_id, for each layer an array of tokens without nulls, and
+    an array of their weights in the same order, named like it with _w).  The
+    rest is as in group_counts.
+    """
+    key = members.schema["app_id"].dataType.simpleString()
+    k = len(layers)
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, ids, left, right = _sides(key, batches)
+        if not len(left) or not len(right):
+            return
+        rows, codes, weights, held = [], [], [], 0
+        for i in range(k):
+            _, at, mine = _postings(table[f"t_{i}"], len(table))
+            w = np.zeros(int(mine.max(initial=-1)) + 1)
+            w[mine] = _joined(table[f"t_{k + i}"]).flatten().to_numpy(zero_copy_only=False)
+            rows, codes, weights, held = [*rows, at], [*codes, mine + held], [*weights, w], held + len(w)
+        rows, codes, weights = (np.concatenate(v) for v in (rows, codes, weights))
+        total = np.bincount(rows, weights[codes], len(table))
+        shared = _Shared(rows, codes, left, right, weights)
+        for first, last, x, y, a, b in _pairs(ids, left, right, key[1] == key[2]):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), *(pa.array(v) for v in (shared.part(first, last)[x, y], total[a], total[b]))], ["a", "b", "both", "x", "y"])
+
+    return _tiles(sets, members, [*layers, *(f"{x}_w" for x in layers)], block).groupBy("grp", "p", "q").applyInArrow(run, f"a {key}, b {key}, both double, x double, y double")
 
 
 def layer_rows(counts: DataFrame, layers: list[str]) -> DataFrame:

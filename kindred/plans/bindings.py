@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kindred.operators import blocks
+from kindred.functions import similarity
+from kindred.operators import blocks, scoring
 
 #: Layers of the suppliers' tokens.
 LAYERS = ("code", "component", "resource", "metadata", "library")
+#: Values of a column that are numbered on the driver, and parts that are broadcast, at most.
+VALUES, PARTS = 1 << 16, 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,20 +67,69 @@ sh AS (
 )
 
 
-def _supplier_lines(spark: SparkSession, sf_dir: str, layers: tuple[str, ...] = LAYERS) -> DataFrame:
-    """(app_id, a column for each layer) of the lines whose part is known; a layer's values stand for its tokens."""
+def _numbered(rows: DataFrame, column: str) -> DataFrame:
+    """`rows` with the values of a column as small numbers, equal ones alike, if it has at most VALUES of them; nulls stay."""
+    values = sorted(r[0] for r in rows.select(column).where(F.col(column).isNotNull()).distinct().limit(VALUES + 1).collect())
+    if len(values) > VALUES:
+        return rows
+    numbers = rows.sparkSession.createDataFrame(list(enumerate(values)), f"_n int, _v {rows.schema[column].dataType.simpleString()}")
+    return rows.join(F.broadcast(numbers), F.col(column) == F.col("_v"), "left").withColumn(column, F.col("_n")).drop("_n", "_v")
+
+
+def _supplier_lines(spark: SparkSession, sf_dir: str, layers: tuple[str, ...] = LAYERS, few: bool = True) -> DataFrame:
+    """(app_id, a column for each layer) of the lines whose part is known; a layer's values stand for its tokens, those of few values as numbers.
+
+    Up to PARTS parts are broadcast if `few`, so that lines move once only; else lines come out by part, with all layers but code as numbers.
+    """
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", F.concat("l_returnflag", "l_linestatus").alias("flags"))
+    if not few:
+        lines = _numbered(lines, "flags")
     part = {"component": "p_brand", "resource": "p_type", "library": "p_size"}
     named = {"code": "l_partkey", "metadata": "flags"} | part
     wanted = [part[x] for x in layers if x in part]
     parts = table(spark, sf_dir, "part").select("p_partkey", *wanted)
-    met = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "inner" if wanted else "left_semi")
+    small = few and parts.count() <= PARTS
+    for column in wanted:
+        parts = _numbered(parts, column)
+    met = lines.join(F.broadcast(parts) if small else parts, F.col("l_partkey") == F.col("p_partkey"), "inner" if wanted else "left_semi")
     return met.select(F.col("l_suppkey").alias("app_id"), *(F.col(named[x]).alias(x) for x in layers))
 
 
 def supplier_sets(spark: SparkSession, sf_dir: str, layers: tuple[str, ...] = LAYERS) -> DataFrame:
-    """(app_id, the set of each layer): supplier_tokens with one row for each supplier, tokens without their layer's prefix."""
-    return _supplier_lines(spark, sf_dir, layers).groupBy("app_id").agg(*(blocks.set_of(F.col(x), F.col(x).isNull()).alias(x) for x in layers))
+    """(app_id, the set of each layer): supplier_tokens with one row for each supplier, tokens without their layer's prefix, or their numbers.
+
+    Lines are dealt out as they are: sets of the few lines that a supplier has in one task are larger than those.
+    """
+    lines = _supplier_lines(spark, sf_dir, layers).repartition("app_id")
+    return lines.groupBy("app_id").agg(*(blocks.set_of(F.col(x), F.col(x).isNull()).alias(x) for x in layers))
+
+
+def supplier_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b, both, x, y): scoring.idf_sums of the suppliers of one nation, over all layers."""
+    lines = _supplier_lines(spark, sf_dir, few=False)
+    rest = [x for x in LAYERS if x != "code"]
+    if any(lines.schema[x].dataType.simpleString() != "int" for x in rest):
+        return scoring.idf_sums(supplier_tokens(spark, sf_dir), supplier_pairs(spark, sf_dir))
+    # Lines lie by part after the join, so that a part's frequency moves nothing; a null supplier counts once, as in SQL.
+    mine = Window.partitionBy("code")
+    counted = lines.withColumn("df", F.size(F.collect_set("app_id").over(mine)) + F.max(F.col("app_id").isNull().cast("int")).over(mine))
+    dealt = counted.where("app_id is not null").repartition("app_id")
+    sets = dealt.groupBy("app_id").agg(F.array_sort(F.collect_set(F.struct("code", "df"))).alias("code"), *(F.array_sort(F.collect_set(x)).alias(x) for x in rest))
+    # The frequencies of the numbered tokens, and the number of suppliers as one more; the sum over `code` keeps both branches on one exchange.
+    named = lambda i: lambda v: F.struct(F.lit(i).alias("i"), v.alias("v"))
+    one = F.array(F.struct(F.lit(len(rest)).alias("i"), F.lit(0).alias("v")))
+    met = sets.select(F.size("code").alias("n"), F.explode(F.flatten(F.array(*(F.transform(x, named(i)) for i, x in enumerate(rest)), one))).alias("x"))
+    nobody = lines.where("app_id is null").select(F.lit(0).alias("n"), F.explode(F.array(*(named(i)(F.col(x)) for i, x in enumerate(rest)))).alias("x")).where("x.v is not null").distinct()
+    found = met.union(nobody).groupBy("x").agg(F.count(F.lit(1)).cast("int").alias("df"), F.sum("n").alias("n"))
+    table_of = lambda i: F.map_from_entries(F.collect_list(F.when(F.col("x.i") == i, F.struct("x.v", "df")))).alias(f"df_{i}")
+    docs = F.coalesce(F.max(F.when(F.col("x.i") == len(rest), F.col("df"))), F.lit(0)).alias("docs")
+    rows = sets.join(F.broadcast(found.where("n >= 0").agg(*(table_of(i) for i in range(len(rest))), docs)))  # one row, of bounded size
+    weigh = lambda df: similarity.idf(F.col("docs"), df)
+    weight_of = lambda i: lambda v: weigh(F.element_at(f"df_{i}", v))
+    known = [F.transform("code", lambda v: v["code"]).alias("code"), F.transform("code", lambda v: weigh(v["df"])).alias("code_w")]
+    for i, x in enumerate(rest):
+        known += [F.col(x), F.transform(x, weight_of(i)).alias(f"{x}_w")]
+    return blocks.group_weights(rows.select("app_id", *known), supplier_members(spark, sf_dir), list(LAYERS))
 
 
 def supplier_layers(spark: SparkSession, sf_dir: str) -> list[str]:
