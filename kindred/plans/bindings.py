@@ -12,6 +12,8 @@ from kindred.operators import blocks, scoring
 LAYERS = ("code", "component", "resource", "metadata", "library")
 #: Values of a column that are numbered on the driver, and parts that are broadcast, at most.
 VALUES, PARTS = 1 << 16, 1 << 21
+#: Lines in one task, about: so few that sorting them by supplier needs no disk.
+LINES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,50 +88,70 @@ def _numbered(rows: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(numbers), F.col(column) == F.col("_v"), "left").withColumn(column, F.col("_n")).drop("_n", "_v")
 
 
-def _supplier_lines(spark: SparkSession, sf_dir: str, layers: tuple[str, ...] = LAYERS, few: bool = True) -> DataFrame:
-    """(app_id, a column for each layer) of the lines whose part is known; a layer's values stand for its tokens, those of few values as numbers.
+def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """(app_id, l_partkey, metadata) of the lines with a part, the flags as numbers if they are few, and in how many tasks they are dealt out: of LINES or so, whatever the session's partitions."""
+    lines = table(spark, sf_dir, "lineitem").where("l_partkey is not null").select(F.col("l_suppkey").alias("app_id"), "l_partkey", F.concat("l_returnflag", "l_linestatus").alias("metadata"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, "lineitem").count() // LINES))
+    return _numbered(lines, "metadata"), tasks
 
-    Up to PARTS parts are broadcast if `few`, so that lines move once only; else lines come out by part, with all layers but code as numbers.
-    """
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", F.concat("l_returnflag", "l_linestatus").alias("flags"))
-    if not few:
-        lines = _numbered(lines, "flags")
-    part = {"component": "p_brand", "resource": "p_type", "library": "p_size"}
-    named = {"code": "l_partkey", "metadata": "flags"} | part
-    wanted = [part[x] for x in layers if x in part]
-    parts = table(spark, sf_dir, "part").select("p_partkey", *wanted)
-    small = few and parts.count() <= PARTS
+
+def _parts(spark: SparkSession, sf_dir: str, layers: tuple[str, ...]) -> tuple[DataFrame, bool]:
+    """(p_partkey, a column for each of the layers that follow from the part), and whether so few parts are broadcast; few values are numbers."""
+    named = {"component": "p_brand", "resource": "p_type", "library": "p_size"}
+    wanted = [x for x in layers if x in named]
+    parts = table(spark, sf_dir, "part").select("p_partkey", *(F.col(named[x]).alias(x) for x in wanted))
+    small = parts.count() <= PARTS
     for column in wanted:
         parts = _numbered(parts, column)
-    met = lines.join(F.broadcast(parts) if small else parts, F.col("l_partkey") == F.col("p_partkey"), "inner" if wanted else "left_semi")
-    return met.select(F.col("l_suppkey").alias("app_id"), *(F.col(named[x]).alias(x) for x in layers))
+    return parts, small
+
+
+def _of_known_parts(lines: DataFrame, parts: DataFrame) -> DataFrame:
+    """Lines with their part as code and what follows from it, less those whose part is unknown."""
+    known = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "inner" if len(parts.columns) > 1 else "left_semi")
+    return known.drop("p_partkey").withColumnRenamed("l_partkey", "code")
 
 
 def supplier_sets(spark: SparkSession, sf_dir: str, layers: tuple[str, ...] = LAYERS) -> DataFrame:
     """(app_id, the set of each layer): supplier_tokens with one row for each supplier, tokens without their layer's prefix, or their numbers.
 
-    Lines are dealt out as they are: sets of the few lines that a supplier has in one task are larger than those.
+    Lines are dealt out as they are: sets of the few lines that a supplier has
+    in one task are larger than those.  Up to PARTS parts are broadcast to
+    where the lines have come to, so that lines move once and without what
+    follows from their part.
     """
-    lines = _supplier_lines(spark, sf_dir, layers).repartition("app_id")
-    return lines.groupBy("app_id").agg(*(blocks.set_of(F.col(x), F.col(x).isNull()).alias(x) for x in layers))
+    lines, tasks = _lines(spark, sf_dir)
+    parts, small = _parts(spark, sf_dir, layers)
+    known = _of_known_parts(lines.repartition(tasks, "app_id"), F.broadcast(parts)) if small else _of_known_parts(lines, parts).repartition(tasks, "app_id")
+    return known.groupBy("app_id").agg(*(blocks.set_of(F.col(x), F.col(x).isNull()).alias(x) for x in layers))
 
 
 def supplier_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(a, b, both, x, y): scoring.idf_sums of the suppliers of one nation, over all layers."""
-    lines = _supplier_lines(spark, sf_dir, few=False)
+    lines, tasks = _lines(spark, sf_dir)
+    parts, small = _parts(spark, sf_dir, LAYERS)
     rest = [x for x in LAYERS if x != "code"]
-    if any(lines.schema[x].dataType.simpleString() != "int" for x in rest):
+    if any(x.schema[c].dataType.simpleString() != "int" for x, c in ((lines, "metadata"), *((parts, c) for c in parts.columns[1:]))):
         return scoring.idf_sums(supplier_tokens(spark, sf_dir), supplier_pairs(spark, sf_dir))
-    # Lines lie by part after the join, so that a part's frequency moves nothing; a null supplier counts once, as in SQL.
-    mine = Window.partitionBy("code")
-    counted = lines.withColumn("df", F.size(F.collect_set("app_id").over(mine)) + F.max(F.col("app_id").isNull().cast("int")).over(mine))
-    dealt = counted.where("app_id is not null").repartition("app_id")
+    # A null supplier counts once in a part's frequency, as in SQL.
+    if small:
+        # The test of the flags keeps the frequencies and the sets on one exchange of the lines.
+        moved = lines.where("app_id is not null").repartition(tasks, "app_id")
+        once = moved.groupBy("app_id", "l_partkey").agg(F.max("metadata").alias("flags")).select(F.col("l_partkey").alias("of"), "flags")
+        once = once.union(lines.where("app_id is null").select("l_partkey", F.lit(None).cast("int")).distinct())
+        once = once.groupBy("of").agg(F.count(F.lit(1)).cast("int").alias("df"), F.max("flags").alias("flags")).where("df > 0 or flags >= 0")
+        counted = parts.join(once.select("of", "df"), F.col("p_partkey") == F.col("of")).drop("of")
+        dealt = _of_known_parts(moved, F.broadcast(counted))
+    else:
+        mine = Window.partitionBy("code")
+        counted = _of_known_parts(lines, parts).withColumn("df", F.size(F.collect_set("app_id").over(mine)) + F.max(F.col("app_id").isNull().cast("int")).over(mine))
+        dealt = counted.where("app_id is not null").repartition(tasks, "app_id")
     sets = dealt.groupBy("app_id").agg(F.array_sort(F.collect_set(F.struct("code", "df"))).alias("code"), *(F.array_sort(F.collect_set(x)).alias(x) for x in rest))
     # The frequencies of the numbered tokens, and the number of suppliers as one more; the sum over `code` keeps both branches on one exchange.
     named = lambda i: lambda v: F.struct(F.lit(i).alias("i"), v.alias("v"))
     one = F.array(F.struct(F.lit(len(rest)).alias("i"), F.lit(0).alias("v")))
     met = sets.select(F.size("code").alias("n"), F.explode(F.flatten(F.array(*(F.transform(x, named(i)) for i, x in enumerate(rest)), one))).alias("x"))
-    nobody = lines.where("app_id is null").select(F.lit(0).alias("n"), F.explode(F.array(*(named(i)(F.col(x)) for i, x in enumerate(rest)))).alias("x")).where("x.v is not null").distinct()
+    nobody = _of_known_parts(lines.where("app_id is null"), F.broadcast(parts) if small else parts).select(F.lit(0).alias("n"), F.explode(F.array(*(named(i)(F.col(x)) for i, x in enumerate(rest)))).alias("x")).where("x.v is not null").distinct()
     found = met.union(nobody).groupBy("x").agg(F.count(F.lit(1)).cast("int").alias("df"), F.sum("n").alias("n"))
     table_of = lambda i: F.map_from_entries(F.collect_list(F.when(F.col("x.i") == i, F.struct("x.v", "df")))).alias(f"df_{i}")
     docs = F.coalesce(F.max(F.when(F.col("x.i") == len(rest), F.col("df"))), F.lit(0)).alias("docs")

@@ -2,11 +2,14 @@
 
 import itertools
 import random
+import re
 
 import __spark_entry__
+import duckdb
 import pytest
 
 from kindred.operators import blocks
+from kindred.plans import bindings
 
 
 @pytest.mark.parametrize("block", [4, 7, 1000])
@@ -54,3 +57,41 @@ def test_pairs_of_suppliers_are_not_shuffled(spark, name):
     plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan
     assert "hashpartitioning(a#" not in plan and "hashpartitioning(b#" not in plan
+
+
+def _below(plan: str, node: str) -> list[str]:
+    """What stands below each such node of a plan."""
+    lines, out = plan.splitlines(), []
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for i, line in enumerate(lines):
+        if line.lstrip(" :+-").startswith(node):
+            out.append("\n".join(itertools.takewhile(lambda x, at=depth(line): depth(x) > at, lines[i + 1 :])))
+    return out
+
+
+@pytest.mark.parametrize("name", ["idf_weighted_jaccard", "layer_scores", "shortcut_pairs"])
+def test_lines_move_without_what_follows_from_their_part(spark, monkeypatch, name):
+    monkeypatch.setattr(bindings, "LINES", 10, raising=False)  # as tables of many lines would have it
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    moved = [x for x in _below(plan, "RepartitionByExpression") if "l_suppkey" in x]
+    assert moved and not any("p_partkey" in x for x in moved)
+    assert all(int(n) > 100 for n in re.findall(r"RepartitionByExpression \[app_id#\d+L\], (\w+)", plan))
+
+
+@pytest.mark.parametrize("parts", [1 << 21, 1])
+def test_weights_count_each_supplier_of_a_part_once(spark, tmp_path, monkeypatch, parts):
+    monkeypatch.setattr(bindings, "PARTS", parts)
+    rng, flags = random.Random(3), [("A", "F"), ("N", "O"), (None, "F")]
+    lines = [(s, rng.choice([1, 2, 3, 4, 5, 6, 99, None]), *rng.choice(flags)) for s in [1, 2, 3, 4, 5, None] for _ in range(4)]
+    tables = {
+        "lineitem": (lines, "l_suppkey long, l_partkey long, l_returnflag string, l_linestatus string"),
+        "part": ([(k, f"b{k % 2}", None if k == 3 else f"t{k % 3}", k % 4) for k in range(1, 7)], "p_partkey long, p_brand string, p_type string, p_size int"),
+        "supplier": ([(s, 1) for s in [1, 2, 3, 4, 5, 6, None]], "s_suppkey long, s_nationkey int"),
+    }
+    sql = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        sql.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("idf_weighted_jaccard", "layer_scores"):
+        got = [tuple(r) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()]
+        assert sorted(got) == sorted(sql.execute(__spark_entry__.oracle_sql()[name]).fetchall())
