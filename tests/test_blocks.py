@@ -95,3 +95,33 @@ def test_weights_count_each_supplier_of_a_part_once(spark, tmp_path, monkeypatch
     for name in ("idf_weighted_jaccard", "layer_scores"):
         got = [tuple(r) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()]
         assert sorted(got) == sorted(sql.execute(__spark_entry__.oracle_sql()[name]).fetchall())
+
+
+@pytest.mark.parametrize("kind", ["long", "int"])
+def test_packed_sets_equal_plain_ones(spark, kind):
+    rng, top = random.Random(9), 2 ** (63 if kind == "long" else 31) - 1
+    pool = [*range(-20, 20), 127, 128, 300, 20_000, top // 3, top, -top, -top - 1, None]
+    sets = {i: [rng.sample(pool, rng.randint(0, len(pool))) for _ in range(2)] for i in range(70)}
+    have = spark.createDataFrame([(i, *v) for i, v in sets.items()], f"app_id long, x array<{kind}>, y array<{kind}>")
+    members = spark.createDataFrame([(i, i % 2) for i in range(75)], "app_id long, grp int")
+    tiles = blocks._tiles(have, members, ["x", "y"], 3, (), blocks._whole(have, ["x", "y"]))
+    assert tiles.groupBy("app_id").count().agg({"count": "max"}).first()[0] == blocks.SPREAD  # 13 blocks of 3 otherwise
+    got = blocks.group_counts(have, members, ["x", "y"], 3).collect()
+    want = {}
+    for a, b in itertools.combinations(range(75), 2):
+        if a % 2 == b % 2:
+            both = [(s, t) for s, t in zip(sets.get(a, [[], []]), sets.get(b, [[], []]), strict=True)]
+            want[a, b] = tuple(n for s, t in both for n in (len((set(s) & set(t)) - {None}), len(s), len(t)))
+    assert len(got) == len(want) and {(r.a, r.b): tuple(r)[2:] for r in got} == want
+
+
+@pytest.mark.parametrize("name", ["layer_scores"])
+def test_sets_of_pairs_move_packed(spark, name):
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    [moved] = [x for x in _below(plan, "Exchange hashpartitioning(grp#") if "p#" in x and "MapInArrow" in x]
+    assert moved
+    sets, layers = bindings.supplier_sets(spark, "/root/testdata/sf0.01"), list(bindings.LAYERS)
+    tiles = blocks._tiles(sets, bindings.supplier_members(spark, "/root/testdata/sf0.01"), layers, blocks.BLOCK, (), blocks._whole(sets, layers))
+    sizes = ["+".join(f"{f}({c}_{i})" for i in range(len(layers))) for f, c in (("length", "t"), ("", "n"))]
+    stored, tokens = tiles.selectExpr(f"sum({sizes[0]})", f"sum({sizes[1]})").first()
+    assert 0 < stored < 2 * tokens
